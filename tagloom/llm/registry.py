@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import chat, mixing, quality
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": quality.op3_quality_rules}
+    return {f.__name__: f for f in (
+        quality.op3_quality_rules,
+        chat.op4_chat_formatting,
+        mixing.op10_mixing,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle()}
+    return {"op3_quality_rules": quality.oracle(), "op4_chat_formatting": chat.oracle(), "op10_mixing": mixing.oracle()}
