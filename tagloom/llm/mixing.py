@@ -33,7 +33,7 @@ from .common import Scratch, table, words_of
 LEVELS = ("domain", "lang", "source")
 #: Weights of the tree's edges, in order of preference; every other edge weighs 1.
 WEIGHTS = {("domain", "web"): 5, ("domain", "books"): 3, ("domain", "code"): 2, ("lang", "en"): 4, ("lang", "de"): 2, ("lang", "fr"): 2, ("lang", "es"): 2}
-SEED, MAX_EPOCHS, BUDGET_PERCENT, BUCKET_DOCS = 20240501, 4, 80, 50_000
+SEED, MAX_EPOCHS, BUDGET_PERCENT, BUCKET_DOCS = 20240501, 4, 80, 5_000
 _BIG = "decimal(38,0)"
 
 

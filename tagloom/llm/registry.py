@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import chat, mixing, packing, quality
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
         quality.op3_quality_rules,
         chat.op4_chat_formatting,
+        packing.op7_packing,
         mixing.op10_mixing,
     )}
 
