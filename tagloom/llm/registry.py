@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality
+from . import chat, minhash, mixing, packing, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         quality.op3_quality_rules,
         chat.op4_chat_formatting,
         packing.op7_packing,
+        minhash.op9_minhash,
         mixing.op10_mixing,
     )}
 
