@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, mixing, packing, quality
+from . import chat, lines, minhash, mixing, packing, paragraphs, quality
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
+        lines.op1_line_dedup,
         quality.op3_quality_rules,
         chat.op4_chat_formatting,
         packing.op7_packing,
+        paragraphs.op8_paragraph_dedup,
         minhash.op9_minhash,
         mixing.op10_mixing,
     )}
