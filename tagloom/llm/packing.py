@@ -32,7 +32,9 @@ WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
 BARS = WINDOW // STEP
 #: Texts of these characters only may be encoded word by word.
 SAFE = r"[\t-\r\x20-\x7e¡-įı-ɏ‐-‧‰-⁞]*"
-CACHE_WORDS, BUCKET_ROWS = 400_000, 50_000
+#: How the tokenizer splits lower-cased text into parts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CACHE_WORDS, BUCKET_ROWS = 600_000, 5_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bar int"
 
 
@@ -40,30 +42,63 @@ class Encoder:
     """Little-endian unsigned 32-bit ids of texts, the end id last."""
 
     def __init__(self, path: str):
+        import json
         import os
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.safe = Tokenizer.from_file(path), {}, re.compile(SAFE)
+        self.tokenizer, self.safe = Tokenizer.from_file(path), re.compile(SAFE)
+        self.parts = regex.compile(SPLIT).findall
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # the tokens that end a part of a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = END_ID.to_bytes(4, "little")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words by their parts, all new parts in one call."""
+        split = [self.parts(w) for w in words]
+        if new := list({p for x in split for p in x}.difference(self.pieces)):
+            ids = self._encode(" ".join(new))
+            cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(new) + 1:
+                raise ValueError("a part of a word has more or less than one end token")
+            data = ids.tobytes()
+            self.pieces.update(zip(new, (data[4 * s : 4 * e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), strict=True))
+        get = self.pieces.__getitem__
+        self.words.update((w, b"".join(map(get, x))) for w, x in zip(words, split, strict=True))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
         if "<|" in text or not self.safe.fullmatch(text):
-            return self._ids([text])[0] + self.end
-        words = text.split()
-        if new := list(set(words).difference(self.cache)):
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
+            return self._encode(text).tobytes() + self.end
+        words = text.lower().split()
+        if new := list(set(words).difference(self.words)):
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
+                self.pieces.clear()
                 new = list(set(words))
-            self.cache.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(self.cache.__getitem__, words)) + self.end
+            self._learn(new)
+        return b"".join(map(self.words.__getitem__, words)) + self.end
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; its cache outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def cut(ids: bytes, window: int = WINDOW):
@@ -79,7 +114,7 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
