@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lines, minhash, mixing, packing, paragraphs, quality
+from . import chat, lines, minhash, mixing, packing, paragraphs, quality, spotsigs
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         lines.op1_line_dedup,
         quality.op3_quality_rules,
         chat.op4_chat_formatting,
+        spotsigs.op6_spotsigs,
         packing.op7_packing,
         paragraphs.op8_paragraph_dedup,
         minhash.op9_minhash,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle(), "op4_chat_formatting": chat.oracle(), "op10_mixing": mixing.oracle()}
+    return {"op3_quality_rules": quality.oracle(), "op4_chat_formatting": chat.oracle(), "op6_spotsigs": spotsigs.oracle(), "op10_mixing": mixing.oracle()}
