@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, lines, minhash, mixing, packing, paragraphs, quality, spotsigs
+from . import chat, langid, lines, minhash, mixing, packing, paragraphs, pii, quality, spotsigs
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
         lines.op1_line_dedup,
+        langid.op2_language_id,
         quality.op3_quality_rules,
         chat.op4_chat_formatting,
+        pii.op5_pii,
         spotsigs.op6_spotsigs,
         packing.op7_packing,
         paragraphs.op8_paragraph_dedup,
