@@ -12,10 +12,10 @@ AMBIGUOUS = "RYSWKMBDHVN"
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Differing places of the common length: the longer sequence is cut, as a zip would."""
+    """Differing places of the common length: the longer sequence is cut, as a zip would. Null if one is null."""
     n = F.least(F.length(a), F.length(b))
     places = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    return F.when(n > 0, F.size(places)).otherwise(F.when(n.isNotNull(), F.lit(0)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(n > 0, F.size(places)).otherwise(F.lit(0)))
 
 
 def strict_hamming(a: Column, b: Column) -> Column:

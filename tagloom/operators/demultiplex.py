@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,8 +53,7 @@ def _fuzzy(reads: DataFrame, patterns: dict[str, str]) -> DataFrame:
     names = [n for p in patterns.values() for n in _fuzzy_names(p)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in dict.fromkeys(names)])
 
-    def run(*columns):
-        import pandas as pd
+    def run(*columns: pd.Series) -> pd.DataFrame:
         import regex
 
         compiled = [regex.compile(patterns[t]) for t in tags]
@@ -66,10 +66,7 @@ def _fuzzy(reads: DataFrame, patterns: dict[str, str]) -> DataFrame:
             rows.append([row.get(n) or "" for n in schema.names])
         return pd.DataFrame(rows, columns=schema.names)
 
-    import pandas as pd
-
-    run.__annotations__ = {"return": pd.DataFrame}
-    return reads.withColumn("_fuzzy", F.pandas_udf(run, schema, F.PandasUDFType.SCALAR)(*[F.col(t) for t in tags]))
+    return reads.withColumn("_fuzzy", F.pandas_udf(run, schema)(*[F.col(t) for t in tags]))
 
 
 def missing(hierarchy: list[Barcode]) -> Column:
