@@ -1,0 +1,151 @@
+"""Language identification, surrogates, packing and the pipeline."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tagloom.llm import langid, packing, pii
+
+WORDS = {"en": "the of and thing ering ation was with they then".split(), "de": "der die und nicht schen heit ung ein mit geüb".split(), "fr": "le les une que eaux tion été pour dans oui".split()}
+
+
+def texts(n, seed=0):
+    r = random.Random(seed)
+    return [(i, " ".join(r.choice(WORDS[lang]) + r.choice(["", "", r.choice(WORDS[lang])]) for _ in range(r.randint(5, 90))), lang) for i in range(n) for lang in [r.choice(list(WORDS))]]
+
+
+def test_forward_backward_is_exact():
+    r = np.random.default_rng(0)
+    scores, t = r.normal(size=(2, 4, 3)), r.normal(size=(3, 3))
+    m, pairs = langid.forward_backward(scores, np.array([4, 2]), t, pairs=True)
+    total = np.zeros((3, 3))
+    for s, n in ((0, 4), (1, 2)):
+        weight, want, both = 0.0, np.zeros((n, 3)), np.zeros((3, 3))
+        for path in np.ndindex(*[3] * n):
+            w = np.exp(sum(scores[s, i, y] for i, y in enumerate(path)) + sum(t[a, b] for a, b in zip(path[:-1], path[1:], strict=True)))
+            weight += w
+            for i, y in enumerate(path):
+                want[i, y] += w
+            for a, b in zip(path[:-1], path[1:], strict=True):
+                both[a, b] += w
+        assert np.allclose(m[s, :n], want / weight) and (m[s, n:] == 0).all()
+        total += both / weight
+    assert np.allclose(pairs, total)
+
+
+def test_language_of_held_out_and_odd_texts(spark):
+    rows = [(i, t, lang, 7) for i, t, lang in texts(150)] + [(900, None, "en", 1), (901, "12 + 34 ²", "en", 1), (902, "", None, 1), (None, "the of and", None, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    model = langid.fit(d)
+    got = langid.predict(d.select("doc_id", "text"), model).toPandas()
+    by = got.dropna(subset="doc_id").set_index("doc_id")
+    held = [(i, lang) for i, _, lang, _ in rows[:150] if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(held) > 20 and np.mean([by.lang_pred[i] == lang for i, lang in held]) > 0.95
+    assert [by.lang_pred[i] for i in (900, 901, 902)] == ["und"] * 3 and by.score[900] == 0
+    assert got.score.between(0, 1).all() and len(got) == len(rows)
+    mixed = model.label(["the of and they then was with der die und nicht ein mit"])[0]
+    assert [model.languages[i] for i in mixed[0].argmax(1)] == ["en"] * 7 + ["de"] * 6
+    assert langid.predict(d.limit(0).select("doc_id", "text"), model).count() == 0
+    none = langid.fit(d.filter("lang is null"))
+    assert langid.predict(d.select("doc_id", "text"), none).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_long_texts_are_read_to_the_end(spark):
+    model = langid.train([(lang, t) for _, t, lang in texts(90)])
+    assert model.predict(["the of and " * 300 + "der die und nicht " * 3000])[0][0] == "de"
+
+
+def test_surrogates(spark):
+    said = "Mr. John Smith (john.smith42@mail.example.com) met Anna; card 4111 1111 1111 1111, +1 (415) 555-2671, 10.20.30.40, token = \"9f86d081884c7d659a2feaa0c55ad015\", Иван Петров"
+    rows = [(1, said, "a"), (2, said.upper(), "b"), (3, None, None), (4, "", None), (5, "Version 2.0 of 2024-05-06, page 12345: 3.14", None), (1, said, "a"), (6, "again john.smith42@mail.example.com and JOHN.SMITH42@mail.example.com", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kinds string").drop("kinds")
+    got = pii.pseudonymise(d).collect()
+    one = next(r for r in got if r["doc_id"] == 1)
+    for hidden in ("Smith", "john.smith", "4111", "415", "10.20.30.40", "9f86d081", "Петров"):
+        assert hidden not in one["text"]
+    first = re.search(r"Mr\. (\w+)", one["text"])[1]
+    assert first in pii.NAMES[("latin", "m")] and re.search(r"met (\w+);", one["text"])[1] in pii.NAMES[("latin", "f")]
+    assert pii.luhn(re.sub(r"\D", "", re.search(r"card ([\d ]+),", one["text"])[1]))
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}, \d\d\.\d\d\.\d\d\.\d\d, token = \"[0-9a-f]{32}\"", one["text"])
+    assert {r["doc_id"]: r["text"] for r in got}[5] == rows[4][1] and {r["doc_id"]: r["text"] for r in got}[3] is None
+    again = next(r for r in got if r["doc_id"] == 6)["text"].split()
+    assert again[1].lower() == again[3].lower() and again[1] in one["text"]
+    assert pii.collisions(pii.entity_table(d)).count() == 0
+    assert pii.pseudonymise(d.limit(0)).count() == 0
+    other = pii.replace(said, b"another key")[0]
+    assert other != one["text"]
+
+
+def test_surrogates_are_one_to_one():
+    for kind, values in (("ip", [f"10.0.{a}.{b}" for a in range(10) for b in range(100, 256)]), ("ssn", [f"123-45-{i:04d}" for i in range(3000)]), ("card", [f"400000000000{i:04d}" for i in range(2000)])):
+        made = [pii.surrogate(kind, v) for v in values]
+        assert len(set(made)) == len(values) and all(a != b for a, b in zip(made, values, strict=True))
+    names = pii.NAMES[("latin", "f")]
+    assert sorted(map(pii.first_name, names)) == sorted(names) and all(pii.first_name(n) != n for n in names)
+
+
+def test_combinations_and_plan():
+    assert packing.combinations(6, 3) == [(6,), (5, 1), (4, 2), (4, 1, 1), (3, 3), (3, 2, 1), (2, 2, 2)]
+    a = np.array([[1.0, 0, 1], [0, 1, 1]])
+    assert np.allclose(packing.nnls(a, np.array([3.0, 5.0])) @ a.T, [3, 5]) and (packing.nnls(-a, np.array([1.0, 1])) == 0).all()
+    r = np.random.default_rng(1)
+    for total in (0, 1, 50, 20_000):
+        counts = np.bincount(r.integers(1, packing.BARS + 1, total), minlength=packing.BARS + 1)
+        chosen = packing.plan(counts)
+        used = np.zeros(packing.BARS + 1, int)
+        for way, n in chosen:
+            assert sum(way) <= packing.BARS and n > 0
+            for b in way:
+                used[b] += n
+        assert (used == counts).all()
+    assert sum(n for _, n in chosen) < 1.01 * (counts @ np.arange(packing.BARS + 1)) / packing.BARS + 1
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
+def test_packing_is_a_round_trip(spark, tokenizer):
+    r = random.Random(2)
+    odd = [None, "", " \n", "Don't 's12 ½ ÉÈ _x_ “q”", "<|endoftext|> in it", "ΣΑΣ İ", "é a\x1cb", "word " * 5000, "x" * 9000]
+    docs = [*enumerate(odd), (3, odd[3]), *[(100 + i, " ".join(r.choice(["token", "Packing", "of", "sequences,", "12"]) for _ in range(r.randint(1, 700)))) for i in range(60)]]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = packing.pack(d, packing.tokenizer_path(), bucket_rows=7).toPandas()
+    for i, t in docs:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        own = got[got.doc_id == i].sort_values(["start", "sequence_id"])
+        copies = sum(j == i for j, _ in docs)
+        assert own.length.sum() == copies * len(ids) and set(own.doc_tokens) == {len(ids)}
+        assert all(c == zlib.crc32(ids[s : s + n].tobytes()) for s, n, c in zip(own.start, own.length, own.ids_crc32, strict=True))
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == np.append(0, np.cumsum(s.length))[:-1].tolist() and s.length.sum() <= packing.WINDOW
+    assert packing.pack(d.limit(0), packing.tokenizer_path()).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    r = random.Random(6)
+    rows = []
+    for i, t, lang in texts(60, seed=5):
+        t = t + "\n" + " ".join(f"{r.choice(WORDS[lang])}{r.choice('abcdefghijk')}" for _ in range(30))
+        rows.append((i, t, lang, f"src{i % 3}", len(t)))
+    rows += [(200, rows[0][1], "en", "src0", 1), (201, "123 456", "en", "src0", 7), (202, None, None, None, None), (203, "the of and they then was", "en", "src1", 24)]
+    sf = tmp_path / "sf"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(sf / "documents.parquet"))
+    docs = spark.read.parquet(str(sf / "documents.parquet"))
+    columns, ids = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(sf)).write.parquet(str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"{k}"))
+        assert docs.columns == columns, name
+        ids.append({x[0] for x in docs.select("doc_id").collect()})
+    assert not ids[0] & {201, 202} and 203 in ids[0] and len(ids[0]) >= 58
+    assert 200 not in ids[1] and ids[2] <= ids[1] and ids[3] < ids[2]
+    out = corpus_pipeline.run(spark, str(sf)).toPandas()
+    assert set(out.doc_id) == ids[3]
