@@ -56,6 +56,17 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(columns, *names: str) -> list[str]:
+    """The names with as many underscores before them as make them new among columns (letter case apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def words_of(text):
     """The words of a text as an array; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

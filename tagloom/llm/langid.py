@@ -130,9 +130,11 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
         """Language, score and number of language switches of each text."""
+        if not self.languages:
+            return [(UNKNOWN, 0.0, 0)] * len(texts)
         out = []
         for marginals, words in self.label(texts):
-            if not len(words) or not self.languages:
+            if not len(words):
                 out.append((UNKNOWN, 0.0, 0))
                 continue
             share = marginals.sum(0) / len(words)

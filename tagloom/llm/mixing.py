@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, words_of
+from .common import Scratch, fresh, table, words_of
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of the tree's edges, in order of preference; every other edge weighs 1.
@@ -133,13 +133,13 @@ def select_rows(docs: DataFrame, **settings) -> DataFrame:
     leaf's last key and no text is shuffled. Rows of the same doc_id and leaf stand or
     fall together."""
     settings = {"seed": SEED, **settings, "max_epochs": 1}
-    marked = with_tokens(docs)
-    slim = marked.select("doc_id", *LEVELS, "tokens")
     key = order_key(settings["seed"], F.lit(0))
-    ends = mix(slim, **settings).groupBy(*LEVELS).agg(F.max(key).alias("_end"))
-    marked = marked.withColumns({f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in LEVELS})
-    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "_end")
-    return marked.join(ends, [f"_{c}" for c in LEVELS]).filter((F.col("tokens") > 0) & (key <= F.col("_end"))).select(*docs.columns)
+    ends = mix(with_tokens(docs).select("doc_id", *LEVELS, "tokens"), **settings).groupBy(*LEVELS).agg(F.max(key).alias("end"))
+    *levels, end = fresh(docs.columns, *[f"_{c}" for c in LEVELS], "_end")
+    ends = ends.select(*[F.col(c).alias(n) for c, n in zip(LEVELS, levels, strict=True)], F.col("end").alias(end))
+    source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    marked = docs.withColumns(dict(zip(levels, (domain_of(source), lang, source), strict=True)))
+    return marked.join(ends, levels).filter((F.size(words_of(F.col("text"))) > 0) & (key <= F.col(end))).select(*docs.columns)
 
 
 def order_key(seed: int, epoch: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import Scratch
+from .common import Scratch, fresh
 
 
 @dataclass(frozen=True)
@@ -36,9 +36,9 @@ class Method:
     min_words: int
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """rid: tells rows of different content apart."""
-    return docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
+def row_id():
+    """Tells rows of different content apart."""
+    return F.xxhash64("doc_id", "text")
 
 
 def occurrences(docs: DataFrame, method: Method) -> DataFrame:
@@ -62,7 +62,7 @@ def occurrences(docs: DataFrame, method: Method) -> DataFrame:
                     names=["doc_id", "rid", "seg", "digest", "sk"],
                 )
 
-    d = _rows(docs).filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("_rid"), F.col("text"))
+    d = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), row_id().alias("rid"), F.col("text"))
     return d.mapInArrow(run, "doc_id long, rid long, seg int, digest binary, sk binary")
 
 
@@ -84,7 +84,7 @@ def _wanted_items(docs: DataFrame, wanted: DataFrame, method: Method) -> DataFra
 
     picks = wanted.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("seg", "comp", "id")).alias("picks"))
     small = wanted.count() <= near.BROADCAST_IDS
-    found = _rows(docs).select("_rid", "text").join(F.broadcast(picks) if small else picks, "_rid")
+    found = docs.select(row_id().alias("_rid"), "text").join(F.broadcast(picks) if small else picks, "_rid")
     return found.select("text", "picks").mapInArrow(run, "comp long, id long, item binary")
 
 
@@ -117,11 +117,13 @@ def removals(scratch: Scratch, docs: DataFrame, method: Method) -> DataFrame:
 def remove(docs: DataFrame, method: Method) -> DataFrame:
     """docs with its text shortened, and the columns n_segments and removed (places from 0)."""
     gone = removals(Scratch(docs.sparkSession, method.label), docs, method)
-    d = _rows(docs).join(gone.hint("merge"), "_rid", "left")  # the same plan at every size
+    rid, places = fresh(docs.columns, "_rid", "_gone")
+    gone = gone.select(F.col("_rid").alias(rid), F.col("_gone").alias(places))
+    d = docs.withColumn(rid, row_id()).join(gone.hint("merge"), rid, "left")  # the same plan at every size
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(places, i)), "\n")
     return d.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_segments"),
-        F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"),
+        *[F.when(F.col(places).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_segments", "removed")],
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).alias("n_segments"),
+        F.coalesce(places, F.array().cast("array<int>")).alias("removed"),
     )
