@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,12 +49,17 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing still to run will read."""
+        """Delete tables that nothing still to run will read.
+
+        Spark deletes the shuffle files of finished plans when the driver collects its
+        garbage, which a large heap may put off for long; so it is asked to here."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for x in tables:
             if getattr(x, "_tagloom_path", None):
                 path = jvm.org.apache.hadoop.fs.Path(x._tagloom_path)
                 path.getFileSystem(conf).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def fresh(columns, *names: str) -> list[str]:

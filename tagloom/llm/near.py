@@ -56,7 +56,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word ``[^\\x20\\x09-\\x0D]+`` of a buffer, by prefix sums."""
-    hashes, starts, at = [], [], 0
+    return _scan(buffer)[:2]
+
+
+def _scan(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and bytes of each word."""
+    hashes, starts, sizes, at = [], [], [], 0
     n = len(buffer)
     while at < n:
         end = n
@@ -76,10 +81,21 @@ def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _MULT))
         starts.append(s + at)
+        sizes.append(e - s)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(sizes)
+
+
+def binary(values: np.ndarray):
+    """An Arrow array with the bytes of each row of a matrix."""
+    import pyarrow as pa
+
+    values = np.ascontiguousarray(values)
+    width = values.shape[1] * values.itemsize
+    ends = pa.py_buffer(np.arange(len(values) + 1, dtype=np.int32) * np.int32(width))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(values), [None, ends, pa.py_buffer(values)])
 
 
 class Items:
@@ -90,10 +106,24 @@ class Items:
     def __init__(self, parts: list[bytes]):
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         begins = np.cumsum(sizes + 1) - sizes - 1
-        self.words, starts = word_hashes(b"\n".join(parts))
+        self.words, starts, self.sizes = _scan(b"\n".join(parts))
         self.first = np.append(np.searchsorted(starts, begins), len(starts)).astype(np.int64)
         self.n_words = np.diff(self.first)
 
+    def only(self, items: np.ndarray, words: np.ndarray | None = None) -> Items:
+        """The items at these places (rising), and of their words those marked if marks are given."""
+        out = Items.__new__(Items)
+        wanted = np.zeros(len(self.n_words), bool)
+        wanted[items] = True
+        kept = np.repeat(wanted, self.n_words)
+        if words is not None:
+            kept &= words
+        out.words, out.sizes = self.words[kept], self.sizes[kept]
+        out.first = np.append(0, np.cumsum(kept))[np.append(self.first[:-1][items], self.first[-1])]
+        out.first[-1] = len(out.words)
+        out.n_words = np.diff(out.first)
+        return out
+
     def sequence_hashes(self) -> np.ndarray:
         """Two 64-bit hashes of each item's word sequence."""
         n, out = len(self.n_words), np.zeros((len(self.n_words), 2), np.uint64)

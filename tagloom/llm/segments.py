@@ -56,9 +56,9 @@ def occurrences(docs: DataFrame, method: Method) -> DataFrame:
                 row = np.repeat(np.arange(len(lines)), many)
                 seg = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
                 good = np.flatnonzero(items.n_words >= method.min_words)
-                digest, sk = items.sequence_hashes()[good], method.sketch(items)[good]
+                items = items.only(good)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[good] + at)), pa.array(rids[row[good] + at]), pa.array(seg[good], pa.int32()), pa.array([x.tobytes() for x in digest], pa.binary()), pa.array([x.tobytes() for x in sk], pa.binary())],
+                    [ids.take(pa.array(row[good] + at)), pa.array(rids[row[good] + at]), pa.array(seg[good], pa.int32()), near.binary(items.sequence_hashes()), near.binary(method.sketch(items))],
                     names=["doc_id", "rid", "seg", "digest", "sk"],
                 )
 
@@ -94,7 +94,7 @@ def removals(scratch: Scratch, docs: DataFrame, method: Method) -> DataFrame:
     place = F.struct("doc_id", "rid", "seg")
     classes = seen.groupBy("digest").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("sk").alias("sk"))
     classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()))
-    slim = scratch.write(seen.select("doc_id", "rid", "seg", "digest"))
+    slim = scratch.write(seen.select("rid", "seg", "digest"))
     scratch.drop(seen)
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sk", first + 1, length)) for b, (first, length) in enumerate(method.blocks)])
     links = near.candidates(scratch, classes.select(F.explode(keys).alias("key"), "id"), classes.select("id", "sk"), method.apart, method.limit)
