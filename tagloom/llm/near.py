@@ -288,7 +288,7 @@ def candidates(scratch: Scratch, keys: DataFrame, sketches: DataFrame, apart, li
         yield from by_group(batches, ["key", "id", "sk"], run)
 
     small = members.filter(F.col("n") <= BIG_BUCKET).select("key", "id").join(sketches, "id").select("key", "id", "sk")
-    linked = small.repartition("key").sortWithinPartitions("key", "id").mapInArrow(link, "a long, b long")
+    linked = small.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "id").mapInArrow(link, "a long, b long")
     out = scratch.write(stars.unionByName(linked).distinct())
     scratch.drop(members)
     return out
@@ -392,8 +392,10 @@ def settle(scratch: Scratch, groups: DataFrame, labels_of) -> DataFrame:
 
         yield from by_group(batches, ["key", "id", "item"], run)
 
+    tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes may be much to compare: as many tasks as there may be
+
     def inside(keyed: DataFrame) -> DataFrame:
-        return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run_groups, "id long, label long")
+        return keyed.repartition(tasks, "key").sortWithinPartitions("key", "id").mapInArrow(run_groups, "id long, label long")
 
     if large.isEmpty():
         return scratch.write(inside(groups.select(F.col("comp").alias("key"), "id", "item")))

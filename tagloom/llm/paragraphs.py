@@ -6,17 +6,24 @@ of it is a bucket key; the number of bands is the fewest that show a pair at a l
 0.8 with probability ``RECALL``. Of the paragraphs that collide, those whose sketches
 agree too little (more than 5 standard deviations under 0.8) are dropped; the others are
 compared by the exact Jaccard index of whole sets, and of each component one occurrence
-stays. See ``segments`` for what happens to nulls, copies and empty tables.
+stays.
+
+Bands of whole paragraphs can't show a passage that is a part of paragraphs which differ
+otherwise: its likeness is far below any threshold. Such passages, of 50 words or more,
+are found by ``passages`` and cut out as well, all but their first occurrence.
+
+See ``segments`` for what happens to nulls, copies and empty tables.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import near
-from .common import table
-from .segments import Method, remove
+from . import near, passages
+from .common import Scratch, fresh, table
+from .segments import Method, removals, row_id
 
 SHINGLE, PERCENT, ROWS, RECALL, MIN_WORDS = 5, 80, 4, 0.998, 10
 BANDS = near.banding(PERCENT / 100, ROWS, RECALL)
@@ -41,10 +48,62 @@ def labels(items: list[bytes]) -> np.ndarray:
 METHOD = Method("paragraphs", normalise, sketch, [(2 * ROWS * b, 2 * ROWS) for b in range(BANDS)], near.samples_apart, MAX_APART, labels, MIN_WORDS)
 
 
-def dedup_paragraphs(docs):
-    return remove(docs, METHOD)
+def shorten(text: str, gone: list[int], ranges: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """text without its paragraphs at the places gone and without ranges of characters; all that went, as ranges in order.
+
+    A paragraph of which no word is left goes; of two blanks that meet at a cut one stays."""
+    out, went, at, k, drop = [], [], 0, 0, set(gone)
+    for place, line in enumerate(text.split("\n")):
+        end = at + len(line)
+        own = [(max(s, at), min(e, end)) for s, e in ranges[k:] if s < end and e > at] if place not in drop else [(at, end)]
+        while k < len(ranges) and ranges[k][1] <= end:
+            k += 1
+        if not own:
+            out.append(line)
+        else:
+            went += own
+            left, begin = "", at
+            for s, e in own:
+                left += text[begin:s]
+                begin = e + (left[-1:] in ("", " ") and text[e : min(e + 1, end)] == " ")
+            left += text[begin:end]
+            if left.strip(" \t\r\x0b\x0c"):
+                out.append(left)
+        at = end + 1
+    return "\n".join(out), went
+
+
+def dedup_paragraphs(docs: DataFrame) -> DataFrame:
+    """docs with its text shortened, n_paragraphs, and removed (ranges of characters of the text as it was)."""
+    scratch = Scratch(docs.sparkSession, METHOD.label)
+    lines = removals(scratch, docs, METHOD).withColumnRenamed("_rid", "rid")
+    found = passages.runs(scratch, docs.select(row_id().alias("rid"), "doc_id", "text"))
+    found = found.groupBy("rid").agg(F.collect_list(F.struct("start", "end", "first_start", "left", "right")).alias("runs"))
+    rid, gone, runs, made = fresh(docs.columns, "_rid", "_gone", "_runs", "_made")
+    both = scratch.write(lines.join(found, "rid", "full").select(F.col("rid").alias(rid), F.col("_gone").alias(gone), F.col("runs").alias(runs)))
+
+    def cut(texts, places, stretches):
+        import pyarrow as pa
+
+        rows = []
+        for t, p, r in zip(texts, places, stretches, strict=True):
+            p, r, t = p.as_py(), r.as_py(), t.as_py()
+            if t is None or p is None and r is None:
+                rows.append({"text": t, "removed": []})
+                continue
+            text, went = shorten(t, p or [], passages.repeats(t, r or []))
+            rows.append({"text": text, "removed": [{"start": s, "end": e} for s, e in went]})
+        return pa.array(rows, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+
+    cutter = F.arrow_udf(cut, "text string, removed array<struct<start int, end int>>")
+    d = docs.withColumn(rid, row_id()).join(both.hint("merge"), rid, "left").withColumn(made, cutter("text", gone, runs))  # the same plan at every size
+    return d.select(
+        *[F.col(made)["text"].alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_paragraphs", "removed")],
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).alias("n_paragraphs"),
+        F.col(made)["removed"].alias("removed"),
+    )
 
 
 def op8_paragraph_dedup(spark, sf_dir):
     d = dedup_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.col("n_segments").alias("n_paragraphs"), F.size("removed").alias("n_removed"), F.col("removed").alias("removed_paragraphs"), "text")
+    return d.select("doc_id", "n_paragraphs", F.size("removed").alias("n_removed"), F.col("removed").alias("removed_ranges"), "text")

@@ -108,10 +108,13 @@ def removals(scratch: Scratch, docs: DataFrame, method: Method) -> DataFrame:
         labels = near.settle(scratch, _wanted_items(docs, wanted, method), method.labels)
         one = one.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     one = scratch.write(one)
+    scratch.drop(classes)
     repeated = one.groupBy("label").agg(F.sum("n").alias("total"), F.min("at").alias("keep")).filter("total > 1")
     keep = one.select("label", "digest").join(repeated, "label").select("digest", F.col("keep.rid").alias("keep_rid"), F.col("keep.seg").alias("keep_seg"))
     gone = slim.join(keep, "digest").filter((F.col("rid") != F.col("keep_rid")) | (F.col("seg") != F.col("keep_seg")))
-    return scratch.write(gone.groupBy(F.col("rid").alias("_rid")).agg(F.sort_array(F.collect_set("seg")).alias("_gone")))
+    out = scratch.write(gone.groupBy(F.col("rid").alias("_rid")).agg(F.sort_array(F.collect_set("seg")).alias("_gone")))
+    scratch.drop(slim, one)
+    return out
 
 
 def remove(docs: DataFrame, method: Method) -> DataFrame:
