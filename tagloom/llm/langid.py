@@ -9,7 +9,7 @@ languages, so a code-switched text is labelled word by word; a document's langua
 one with the largest sum of marginals, and that sum per word is its score.
 
 Training: lines of labelled documents, at most ``TRAIN_LINES`` for each language (a
-documented bound; those with the smallest hash, so any document may be drawn and reruns
+documented bound; drawn by a hash of document and line, so any of them may be and reruns
 agree), of ``TRAIN_WORDS`` words in the middle of longer ones. A line's words have its
 document's language; a third of the sequences splice pieces of two lines, so that
 transitions between languages are seen. The model is a small array, sent to the executors
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -212,17 +212,20 @@ def fold() -> Column:
 def fit(docs: DataFrame, train_lines: int = TRAIN_LINES) -> Model:
     """Learn from a bounded sample of lines of labelled documents (text, lang, and doc_id for the fold)."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(), F.lit(0)) != 1))
-    languages = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    lines = labelled.select("lang", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(r"\p{L}"))
-    key = F.xxhash64("line")
-    one = [lines.filter(F.col("lang") == x).orderBy(key, "line").limit(train_lines) for x in sorted(languages)]
-    if not one:
+    lines = labelled.select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"\p{L}"))
+    counts = lines.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
         return train([])
-    every = one[0]
-    for x in one[1:]:
-        every = every.unionByName(x)
+    # about twice as many as are wanted pass by their hash, so what is sorted and sent has a bound at any size
+    key = F.xxhash64("doc_id", "pos", "line")
+    passes = F.lit(False)
+    for language, n in counts:
+        passes = F.when(F.col("lang") == language, F.pmod(key, F.lit(n)) < 2 * train_lines + 100).otherwise(passes)
     middle = F.expr("substring(line, cast(greatest(1, length(line) div 2 - 400) as int), 800)")  # about TRAIN_WORDS words around the middle
-    return train([(r[0], r[1]) for r in every.select("lang", middle.alias("line")).collect()])
+    drawn = lines.filter(passes).select("lang", key.alias("_key"), middle.alias("line"))
+    own = Window.partitionBy("lang").orderBy("_key", "line")
+    drawn = drawn.withColumn("_place", F.row_number().over(own)).filter(F.col("_place") <= train_lines)
+    return train([(r[0], r[1]) for r in drawn.select("lang", "line", "_place").orderBy("lang", "_place").collect()])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

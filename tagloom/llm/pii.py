@@ -23,6 +23,7 @@ are treated alike; an empty table gives no rows. Other columns are carried along
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -195,12 +196,19 @@ def last_name(name: str, key: bytes = KEY) -> str:
 def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, surrogate) of the entities of a text, in order, none overlapping."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []  # of what is taken, in order, and
+    ends: list[int] = []
 
-    def add(start: int, end: int, kind: str, made: str) -> None:
-        if all(end <= s or e <= start for s, e in taken):
-            taken.append((start, end))
-            found.append((start, end, kind, made))
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return k == 0 or ends[k - 1] <= start
+
+    def add(start: int, end: int, kind: str, value: str, make) -> None:
+        if free(start, end):
+            k = bisect_left(starts, start)
+            starts.insert(k, start)
+            ends.insert(k, end)
+            found.append((start, end, kind, make(value)))
 
     has_digit = any(d in text for d in _DIGITS)
     if "@" in text or has_digit or "-----BEGIN" in text or "=" in text or ":" in text:
@@ -211,14 +219,14 @@ def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
                 continue
             for m in pattern.finditer(text):
                 g = "value" if "value" in pattern.groupindex else 0
-                add(m.start(g), m.end(g), kind, surrogate(kind, m[g], key))
+                add(m.start(g), m.end(g), kind, m[g], lambda v, kind=kind: surrogate(kind, v, key))
     if not _starts.isdisjoint(text.replace(",", " ").replace(".", " ").split()):
         for m in _person.finditer(text):
             for g in ("last", "alone"):
                 if m[g] and m[g][0].isupper():
-                    add(m.start(g), m.end(g), "last_name", last_name(m[g], key))
+                    add(m.start(g), m.end(g), "last_name", m[g], lambda v: last_name(v, key))
             if m["first"]:
-                add(m.start("first"), m.end("first"), "first_name", first_name(m["first"], key))
+                add(m.start("first"), m.end("first"), "first_name", m["first"], lambda v: first_name(v, key))
     return sorted(found)
 
 

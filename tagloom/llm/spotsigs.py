@@ -12,7 +12,9 @@ most: ``length_class`` partitions sets so that likes are in one class or in neig
 and ``similar`` decides by size alone before it intersects.
 
 Finding the next document takes one shuffle of texts by ranges of doc_id; each range also
-gets the head of the following one, so no text is sent to a single task.
+gets the head of the following one, so no text is sent to a single task. Ranges end at
+quantiles of doc_id, ``RANGE_ROWS`` documents apart while there are ``MAX_RANGES`` at most,
+so ids that lie in heaps fill ranges like any others.
 
 Defined results: null text is empty; equal doc_ids are in order of their text; a null
 doc_id comes first; the only row is its own next document; an empty table gives no rows.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CHAIN, HEX, PERCENT, RANGE_ROWS, MAX_RANGES = 2, 10, 80, 1000, 4096
+CHAIN, HEX, PERCENT, RANGE_ROWS, MAX_RANGES = 2, 10, 80, 1000, 100_000
 ANCHORS = sorted(
     set(
         "the of and to in a is that it for was on with as at by an be this from or are "
@@ -84,12 +86,20 @@ def similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
     return F.when(far, F.lit(False)).otherwise(100 * F.size(F.array_intersect(a, b)) >= percent * F.size(F.array_union(a, b)))
 
 
+def _rank(x: Column, ends: list[int]) -> Column:
+    """How many of the rising ends are x or less, by halving."""
+    if not ends:
+        return F.lit(0)
+    listed = F.lit(ends).cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(ends).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= x, at + step).otherwise(at))
+
+
 def _next_to(docs: DataFrame) -> tuple[DataFrame, object]:
     """docs (doc_id, text) with its range and the heads of following ranges as ghosts; the order of a range."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    ranges = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
-    width = ((high - low) // ranges + 1) if low is not None else 1
-    d = docs.withColumn("_range", F.coalesce(F.expr(f"(doc_id - {low or 0}) div {width}"), F.lit(-1)))
+    ranges = max(1, min(MAX_RANGES, -(-docs.select("doc_id").count() // RANGE_ROWS)))
+    ends = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] if ranges > 1 else []
+    d = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_rank(F.col("doc_id"), ends or [])))
     heads = d.select("_range", "doc_id").groupBy("_range").agg(F.min("doc_id").alias("_head"))  # MAX_RANGES + 1 rows at most
     whole = Window.partitionBy(F.lit(0)).orderBy("_range")
     last = F.max("_range").over(Window.partitionBy(F.lit(0)))
