@@ -9,7 +9,8 @@ or group only a spanning forest of links is written.
 
 Hot groups: copies are collapsed before; a bucket over ``BIG_BUCKET`` links all its
 members to one leader (a superset of its links) without comparing them; a group over
-``MAX_ITEMS`` or ``MAX_CHARS`` is compared in pairs of blocks, each of bounded size.
+``MAX_ITEMS`` or ``MAX_CHARS`` is compared in blocks of bounded size, with a few of its
+items first, so that near copies of one text take time in proportion to their number.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BIG_BUCKET, MAX_ITEMS, MAX_CHARS, SMALL_BUCKET = 1024, 4096, 16_000_000, 6
+BIG_BUCKET, MAX_ITEMS, MAX_CHARS, SMALL_BUCKET, PIVOTS = 1024, 4096, 16_000_000, 6, 32
 BROADCAST_IDS = 400_000
 
 _rng = np.random.default_rng(7_654_321)
@@ -400,16 +401,52 @@ def settle(scratch: Scratch, groups: DataFrame, labels_of) -> DataFrame:
     if large.isEmpty():
         return scratch.write(inside(groups.select(F.col("comp").alias("key"), "id", "item")))
     done = inside(groups.join(large, "comp", "left_anti").select(F.col("comp").alias("key"), "id", "item"))
-    # half blocks: a pair of them is at most one block's size
-    big = groups.join(large, "comp").withColumn("_m", 2 * F.col("_blocks")).withColumn("_at", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
-    big = big.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    pair = F.xxhash64("comp", F.least("_at", "_to"), F.greatest("_at", "_to"))
-    links = scratch.write(inside(big.select(pair.alias("key"), "id", "item")).filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).distinct())
+    links = _large_links(scratch, groups.join(large, "comp"), inside)
     if links.isEmpty():
         return scratch.write(done)
     return scratch.write(done.unionByName(components(scratch, links).select("id", F.col("comp").alias("label"))))
 
 
+def _large_links(scratch: Scratch, big: DataFrame, inside) -> DataFrame:
+    """Links (a, b) that join what exact links join in large groups (comp, id, item, _blocks).
+
+    First the items are dealt over half blocks, and each half block is compared together
+    with ``PIVOTS`` items of its group: that costs a share of the group's size, and joins
+    most of what near copies of one text there are. Then only items outside the group's
+    largest part are compared with all others, in pairs of half blocks."""
+    half = lambda x, n: F.pmod(F.xxhash64(x), n).cast("int")
+    big = big.withColumn("_m", (2 * F.col("_blocks")).cast("int"))
+    pivots = big.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item"), F.xxhash64("id", F.lit(1))).alias("_p"))
+    pivots = pivots.select("comp", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_at"), "_p.*")
+    dealt = big.select("comp", half("id", F.col("_m")).alias("_at"), "id", "item").unionByName(pivots)
+    as_links = lambda keyed: inside(keyed).filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).distinct()
+    links = scratch.write(as_links(dealt.select(F.xxhash64("comp", "_at").alias("key"), "id", "item")))
+    part = big.select("comp", "id").distinct()
+    if not links.isEmpty():
+        part = part.join(components(scratch, links).select("id", F.col("comp").alias("_part")), "id", "left")
+    else:
+        part = part.withColumn("_part", F.lit(None).cast("long"))
+    part = part.withColumn("_part", F.coalesce("_part", "id"))
+    sizes = part.groupBy("comp", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.groupBy("comp").agg(F.max_by("_part", F.struct("_n", "_part")).alias("_main"))
+    rest = scratch.write(part.join(largest, "comp").filter(F.col("_part") != F.col("_main")).select("comp", "id"))
+    if rest.isEmpty():
+        return links
+    found = big.join(rest.select("id").withColumn("_out", F.lit(True)), "id", "left").withColumn("_out", F.col("_out").isNotNull())
+    size = found.filter("_out").groupBy("comp").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("item")).alias("_c"))
+    # blocks of what is outside, each half a block at most
+    size = size.select("comp", F.greatest(F.ceil(2 * F.col("_n") / F.lit(MAX_ITEMS)), F.ceil(2 * F.col("_c") / F.lit(MAX_CHARS))).cast("int").alias("_u"))
+    found = found.join(size, "comp").withColumn("_at", F.when(F.col("_out"), half("id", F.col("_u"))).otherwise(half("id", F.col("_m"))))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    with_main = lambda u, m: F.xxhash64("comp", F.lit("main"), u, m)
+    outside = F.concat(
+        F.transform(every(F.col("_u")), lambda b: F.xxhash64("comp", F.lit("rest"), F.least("_at", b), F.greatest("_at", b))),
+        F.transform(every(F.col("_m")), lambda m: with_main(F.col("_at"), m)),
+    )
+    keys = F.when(F.col("_out"), outside).otherwise(F.transform(every(F.col("_u")), lambda u: with_main(u, F.col("_at"))))
+    return scratch.write(links.unionByName(as_links(found.select(F.explode(keys).alias("key"), "id", "item"))))
+
+
 def only_ids(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """The rows of docs whose column is in wanted; broadcast if that is small, else by shuffle."""
     wanted = wanted.select(column).distinct()

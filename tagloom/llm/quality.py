@@ -43,7 +43,7 @@ RULES = [
     ("mean_word_chars", "word_chars / n_words", 2.0, 14.0),
     ("symbol_ratio", "n_symbols / n_words", None, 0.25),
     ("stop_word_ratio", "n_stop_words / n_words", 0.02, None),
-    ("dup_line_ratio", "n_dup_lines / n_lines", None, 0.30),
+    ("dup_line_ratio", "n_dup_lines / n_lines", None, 0.50),
     ("bullet_line_ratio", "n_bullet_lines / n_lines", None, 0.90),
     ("ellipsis_line_ratio", "n_ellipsis_lines / n_lines", None, 0.30),
     ("exclaimed_word_ratio", "n_exclaimed_words / n_words", None, 0.50),

@@ -72,9 +72,13 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
         c = list(base)
         c[r.randrange(80)] = f"v{r.randrange(10**6)}"
         texts.append(" ".join(c))
+    c = list(base)
+    for i in range(26):  # a chain that leads away from the others
+        c[3 * i] = f"x{i}"
+        texts.append(" ".join(c))
     docs = list(enumerate(texts))
     want = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(spark, docs)).collect()}
-    for name, value in (("MAX_ITEMS", 8), ("BIG_BUCKET", 10), ("BROADCAST_IDS", 0)):
+    for name, value in (("MAX_ITEMS", 8), ("BIG_BUCKET", 10), ("BROADCAST_IDS", 0), ("PIVOTS", 2)):
         monkeypatch.setattr(near, name, value)
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(spark, docs)).collect()} == want
     sets = {i: shingles(t, 3) for i, t in docs}
