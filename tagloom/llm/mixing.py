@@ -137,6 +137,7 @@ def select_rows(docs: DataFrame, **settings) -> DataFrame:
     ends = mix(with_tokens(docs).select("doc_id", *LEVELS, "tokens"), **settings).groupBy(*LEVELS).agg(F.max(key).alias("end"))
     *levels, end = fresh(docs.columns, *[f"_{c}" for c in LEVELS], "_end")
     ends = ends.select(*[F.col(c).alias(n) for c, n in zip(LEVELS, levels, strict=True)], F.col("end").alias(end))
+    ends = Scratch(docs.sparkSession, "ends").write(ends)  # a row for each leaf: its size is known before texts are moved
     source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
     marked = docs.withColumns(dict(zip(levels, (domain_of(source), lang, source), strict=True)))
     return marked.join(ends, levels).filter((F.size(words_of(F.col("text"))) > 0) & (key <= F.col(end))).select(*docs.columns)
