@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.config import Barcode
+from tagloom.functions.scratch import written
 from tagloom.functions.sequences import group_numbers, hamming, is_plain, stem, to_java
 
 
@@ -109,7 +110,8 @@ def demultiplex(reads: DataFrame, hierarchy: list[Barcode], regexes: dict[str, s
     Reads are counted by raw barcodes first, so lengths and references are looked at once
     for each distinct combination."""
     names = [b.name for b in hierarchy]
-    raw = extract(reads, regexes, names).groupBy(*names).agg(F.count(F.lit(1)).alias("reads"))
+    # written: else filters move below the count, where each would run the expressions on every read again
+    raw = written(extract(reads, regexes, names).groupBy(*names).agg(F.count(F.lit(1)).alias("reads")), "raw")
     short = F.when(F.size("_missing") == 0, too_short(hierarchy)).otherwise(F.array().cast("array<string>"))
     seen = raw.withColumn("_missing", missing(hierarchy)).withColumn("_short", short)
     good = truncate(seen.filter((F.size("_missing") == 0) & (F.size("_short") == 0)).select(*names, "reads"), hierarchy)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.config import Barcode, auto_threshold
+from tagloom.functions.scratch import written
 from tagloom.operators import combos, demultiplex as dm, hopping, similarity, statistics
 
 LETTERS = "ACGTACGTACGTACGT"
@@ -253,7 +254,7 @@ def pipeline_full(spark, sf_dir):
     """Extract, correct samples, count, correct lineages, remove hopping, threshold."""
     hierarchy = [Barcode("sample", "reference", SAMPLES, 1), Barcode("lib"), Barcode("lid", min_length=8)]
     d = dm.demultiplex(reads(spark, sf_dir).select("query"), hierarchy, {"query": PLAIN.replace("GGGC", "[ACGT]{4}")})[0]
-    d = similarity.correct_level(d, ["sample", "lib"], "lid")
+    d = written(similarity.correct_level(written(d, "demultiplex"), ["sample", "lib"], "lid"), "correct")  # as the stages write theirs
     d = hopping.hopping_removal(d, [["lib"]])
     return combos.threshold(d, _limits(spark, False))
 
