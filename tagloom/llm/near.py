@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BIG_BUCKET, MAX_ITEMS, MAX_CHARS, SMALL_BUCKET, PIVOTS = 1024, 4096, 16_000_000, 6, 32
+BIG_BUCKET, MAX_ITEMS, MAX_CHARS, SMALL_BUCKET, PIVOTS = 1024, 4096, 16_000_000, 6, 8
 BROADCAST_IDS = 400_000
 
 _rng = np.random.default_rng(7_654_321)
@@ -201,9 +201,9 @@ def samples_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.view(np.uint16) != b.view(np.uint16)).sum(-1, dtype=np.int32)
 
 
-def _labels(n: int, near) -> np.ndarray:
-    """Smallest reachable index of each of n, where near(i) tells which of i+1.. i is linked to."""
-    label = np.arange(n)
+def _labels(n: int, near, start: np.ndarray | None = None) -> np.ndarray:
+    """Smallest reachable index of each of n, where near(i) tells which of i+1.. i is linked to; start: labels that are known."""
+    label = np.arange(n) if start is None else start.copy()
     for i in range(n - 1):
         j = np.flatnonzero(near(i)) + i + 1
         if len(j):
@@ -334,12 +334,12 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 # -- exact comparison inside groups -----------------------------------------------------
 
 
-def set_labels(texts: list[bytes], k: int, percent: int) -> np.ndarray:
+def set_labels(texts: list[bytes], k: int, percent: int, start: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable over links with 100 * intersection >= percent * union of k-word shingle sets."""
     hashes, first = Items(texts).shingles(k)
     sets = [np.unique(hashes[first[i] : first[i + 1]]) for i in range(len(texts))]
     n, size = len(sets), np.array([len(x) for x in sets])
-    if n == 2:
+    if n == 2 and start is None:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.array([0, 0 if size.all() and 100 * both >= percent * (size.sum() - both) else 1])
     owner = np.repeat(np.arange(n), size)
@@ -359,24 +359,26 @@ def set_labels(texts: list[bytes], k: int, percent: int) -> np.ndarray:
         rows = np.packbits(bits, axis=1).view(np.uint64)
         for i in range(n - 1):
             common[i, i + 1 :] += np.bitwise_count(rows[i] & rows[i + 1 :]).sum(1, dtype=np.int32)
-    return _labels(n, lambda i: (size[i] > 0) & (100 * common[i, i + 1 :] >= percent * (size[i] + size[i + 1 :] - common[i, i + 1 :])))
+    return _labels(n, lambda i: (size[i] > 0) & (100 * common[i, i + 1 :] >= percent * (size[i] + size[i + 1 :] - common[i, i + 1 :])), start)
 
 
-def settle(scratch: Scratch, groups: DataFrame, labels_of) -> DataFrame:
+def settle(scratch: Scratch, groups: DataFrame, labels_of, most_items: int | None = None, most_chars: int | None = None) -> DataFrame:
     """id and label of the items of groups (comp long, id long, item binary).
 
-    label is the smallest id that exact links reach. labels_of(list of items) gives the
-    smallest reachable index for each. One item may come several times."""
+    label is the smallest id that exact links reach. labels_of(list of items, labels known
+    or None) gives the smallest reachable index for each. One item may come several times.
+    most_items and most_chars: beyond these a group is compared in blocks."""
+    most_items, most_chars = most_items or MAX_ITEMS, most_chars or MAX_CHARS
     groups = scratch.write(groups)
     size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("item")).alias("chars"))
-    blocks = F.greatest(F.ceil(F.col("n") / F.lit(MAX_ITEMS)), F.ceil(F.col("chars") / F.lit(MAX_CHARS))).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(most_items)), F.ceil(F.col("chars") / F.lit(most_chars))).cast("int")
     large = scratch.write(size.withColumn("_blocks", blocks).filter("_blocks > 1").select("comp", "_blocks"))
 
     def run_groups(batches):
         import pyarrow as pa
 
         def run(t):
-            key, ids, items = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2)
+            key, ids, items, parts = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2), t.column(3).to_numpy()
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             a, b = [], []
             for s, e in zip(begin, np.append(begin[1:], len(key)), strict=True):
@@ -385,13 +387,15 @@ def settle(scratch: Scratch, groups: DataFrame, labels_of) -> DataFrame:
                 own = own[new]
                 if len(own) < 2:
                     continue
-                root = labels_of([items[int(s + i)].as_py() for i in new])
+                part = parts[s:e][new]
+                known, first, inverse = np.unique(part, return_index=True, return_inverse=True)
+                root = labels_of([items[int(s + i)].as_py() for i in new], first[inverse] if len(known) < len(part) else None)
                 a.append(own)
                 b.append(own[root])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["id", "label"])
 
-        yield from by_group(batches, ["key", "id", "item"], run)
+        yield from by_group(batches, ["key", "id", "item", "part"], run)
 
     tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes may be much to compare: as many tasks as there may be
 
@@ -399,43 +403,43 @@ def settle(scratch: Scratch, groups: DataFrame, labels_of) -> DataFrame:
         return keyed.repartition(tasks, "key").sortWithinPartitions("key", "id").mapInArrow(run_groups, "id long, label long")
 
     if large.isEmpty():
-        return scratch.write(inside(groups.select(F.col("comp").alias("key"), "id", "item")))
-    done = inside(groups.join(large, "comp", "left_anti").select(F.col("comp").alias("key"), "id", "item"))
-    links = _large_links(scratch, groups.join(large, "comp"), inside)
+        return scratch.write(inside(groups.select(F.col("comp").alias("key"), "id", "item", F.col("id").alias("part"))))
+    done = inside(groups.join(large, "comp", "left_anti").select(F.col("comp").alias("key"), "id", "item", F.col("id").alias("part")))
+    links = _large_links(scratch, groups.join(large, "comp"), inside, most_items, most_chars)
     if links.isEmpty():
         return scratch.write(done)
     return scratch.write(done.unionByName(components(scratch, links).select("id", F.col("comp").alias("label"))))
 
 
-def _large_links(scratch: Scratch, big: DataFrame, inside) -> DataFrame:
+def _large_links(scratch: Scratch, big: DataFrame, inside, most_items: int, most_chars: int) -> DataFrame:
     """Links (a, b) that join what exact links join in large groups (comp, id, item, _blocks).
 
     First the items are dealt over half blocks, and each half block is compared together
     with ``PIVOTS`` items of its group: that costs a share of the group's size, and joins
     most of what near copies of one text there are. Then only items outside the group's
-    largest part are compared with all others, in pairs of half blocks."""
+    largest part are compared with all that are in other parts, in pairs of half blocks."""
     half = lambda x, n: F.pmod(F.xxhash64(x), n).cast("int")
     big = big.withColumn("_m", (2 * F.col("_blocks")).cast("int"))
     pivots = big.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item"), F.xxhash64("id", F.lit(1))).alias("_p"))
     pivots = pivots.select("comp", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_at"), "_p.*")
     dealt = big.select("comp", half("id", F.col("_m")).alias("_at"), "id", "item").unionByName(pivots)
     as_links = lambda keyed: inside(keyed).filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).distinct()
-    links = scratch.write(as_links(dealt.select(F.xxhash64("comp", "_at").alias("key"), "id", "item")))
+    links = scratch.write(as_links(dealt.select(F.xxhash64("comp", "_at").alias("key"), "id", "item", F.col("id").alias("part"))))
     part = big.select("comp", "id").distinct()
     if not links.isEmpty():
         part = part.join(components(scratch, links).select("id", F.col("comp").alias("_part")), "id", "left")
     else:
         part = part.withColumn("_part", F.lit(None).cast("long"))
-    part = part.withColumn("_part", F.coalesce("_part", "id"))
+    part = scratch.write(part.withColumn("_part", F.coalesce("_part", "id")))
     sizes = part.groupBy("comp", "_part").agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.groupBy("comp").agg(F.max_by("_part", F.struct("_n", "_part")).alias("_main"))
     rest = scratch.write(part.join(largest, "comp").filter(F.col("_part") != F.col("_main")).select("comp", "id"))
     if rest.isEmpty():
         return links
-    found = big.join(rest.select("id").withColumn("_out", F.lit(True)), "id", "left").withColumn("_out", F.col("_out").isNotNull())
+    found = big.join(part.select("id", "_part"), "id").join(rest.select("id").withColumn("_out", F.lit(True)), "id", "left").withColumn("_out", F.col("_out").isNotNull())
     size = found.filter("_out").groupBy("comp").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("item")).alias("_c"))
     # blocks of what is outside, each half a block at most
-    size = size.select("comp", F.greatest(F.ceil(2 * F.col("_n") / F.lit(MAX_ITEMS)), F.ceil(2 * F.col("_c") / F.lit(MAX_CHARS))).cast("int").alias("_u"))
+    size = size.select("comp", F.greatest(F.ceil(2 * F.col("_n") / F.lit(most_items)), F.ceil(2 * F.col("_c") / F.lit(most_chars))).cast("int").alias("_u"))
     found = found.join(size, "comp").withColumn("_at", F.when(F.col("_out"), half("id", F.col("_u"))).otherwise(half("id", F.col("_m"))))
     every = lambda n: F.sequence(F.lit(0), n - 1)
     with_main = lambda u, m: F.xxhash64("comp", F.lit("main"), u, m)
@@ -444,7 +448,7 @@ def _large_links(scratch: Scratch, big: DataFrame, inside) -> DataFrame:
         F.transform(every(F.col("_m")), lambda m: with_main(F.col("_at"), m)),
     )
     keys = F.when(F.col("_out"), outside).otherwise(F.transform(every(F.col("_u")), lambda u: with_main(u, F.col("_at"))))
-    return scratch.write(links.unionByName(as_links(found.select(F.explode(keys).alias("key"), "id", "item"))))
+    return scratch.write(links.unionByName(as_links(found.select(F.explode(keys).alias("key"), "id", "item", F.col("_part").alias("part")))))
 
 
 def only_ids(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:

@@ -41,8 +41,8 @@ def sketch(items: near.Items) -> np.ndarray:
     return np.ascontiguousarray((near.minima(hashes, first, SAMPLES) >> np.uint64(24)).astype(np.uint16)).view(np.uint8)
 
 
-def labels(items: list[bytes]) -> np.ndarray:
-    return near.set_labels(items, SHINGLE, PERCENT)
+def labels(items: list[bytes], known: np.ndarray | None = None) -> np.ndarray:
+    return near.set_labels(items, SHINGLE, PERCENT, known)
 
 
 METHOD = Method("paragraphs", normalise, sketch, [(2 * ROWS * b, 2 * ROWS) for b in range(BANDS)], near.samples_apart, MAX_APART, labels, MIN_WORDS)

@@ -32,8 +32,10 @@ class Method:
     blocks: list[tuple[int, int]]  # first byte and length of each bucket key in the sketch
     apart: Callable
     limit: int
-    labels: Callable[[list[bytes]], np.ndarray]
+    labels: Callable[[list[bytes], np.ndarray | None], np.ndarray]
     min_words: int
+    most_items: int | None = None  # a group beyond these is compared in blocks
+    most_chars: int | None = None
 
 
 def row_id():
@@ -105,7 +107,7 @@ def removals(scratch: Scratch, docs: DataFrame, method: Method) -> DataFrame:
         groups = near.components(scratch, links)
         scratch.drop(links)
         wanted = scratch.write(groups.join(classes.select("id", "at"), "id").select("comp", "id", "at.rid", "at.seg"))
-        labels = near.settle(scratch, _wanted_items(docs, wanted, method), method.labels)
+        labels = near.settle(scratch, _wanted_items(docs, wanted, method), method.labels, method.most_items, method.most_chars)
         one = one.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     one = scratch.write(one)
     scratch.drop(classes)
