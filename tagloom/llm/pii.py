@@ -46,7 +46,8 @@ NAMES = {
 }
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Mademoiselle Mme Señor Señora Don Doña".split()
 _first = {n: at for at, names in NAMES.items() for n in names}
-_starts = set(_first) | set(TITLES) | {t + "." for t in TITLES}
+_starts = set(_first) | set(TITLES)
+_parts = re.compile(r"\w+").findall
 
 #: Letters that may stand for one another; a letter in none of them stays as it is.
 _VOWELS, _CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
@@ -55,22 +56,24 @@ _set_of = {c: s for s in _SETS for c in s}
 _ALPHA = {c: "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"} | {c: s for s in _SETS[2:] for c in s}
 
 _WORD = r"[^\W\d_]"
+_PREFIXES = ("sk", "pk", "ghp", "gho", "xoxa", "xoxb", "xoxp", "AKIA", "ASIA", "AIza")
+#: Kind, pattern, and what a text holds one of if it matches; None: a digit.
 PATTERNS = [
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"),
-    ("email", r"[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}"),
-    ("secret", r"(?i:\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)(?P<value>[\w\-+/=.]{6,})"),
-    ("secret", r"\b(?:sk|pk|ghp|gho|xox[abp]|AKIA|ASIA|AIza)[-_]?[A-Za-z0-9_-]{16,}\b"),
-    ("secret", r"\b(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{24,}\b"),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("mac", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b"),
-    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.]*\d)"),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("card", r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![\d-])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"),
-    ("phone", r"(?<![\w+])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"),
-    ("number", r"(?<![\w.])\d{9,12}(?![\w.])"),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", ("-----BEGIN",)),
+    ("email", r"[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}", ("@",)),
+    ("secret", r"(?i:\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)(?P<value>[\w\-+/=.]{6,})", ("=", ":")),
+    ("secret", r"\b(?:sk|pk|ghp|gho|xox[abp]|AKIA|ASIA|AIza)[-_]?[A-Za-z0-9_-]{16,}\b", _PREFIXES),
+    ("secret", r"\b(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{24,}\b", None),
+    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", None),
+    ("mac", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b", (":",)),
+    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.]*\d)", None),
+    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", None),
+    ("card", r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![\d-])", None),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)", None),
+    ("phone", r"(?<![\w+])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)", None),
+    ("number", r"(?<![\w.])\d{9,12}(?![\w.])", None),
 ]
-_compiled = [(kind, re.compile(p, re.DOTALL)) for kind, p in PATTERNS]
+_compiled = [(kind, re.compile(p, re.DOTALL), marks) for kind, p, marks in PATTERNS]
 _given, _title = "|".join(sorted(_first, key=len, reverse=True)), "|".join(TITLES)
 _family = rf"{_WORD}+(?:-{_WORD}+)?"
 _person = re.compile(rf"(?<!\w)(?:(?:(?:{_title})\.? )?(?P<first>{_given})(?!\w)(?: (?!(?:{_given})(?!\w))(?P<last>{_family}))?|(?:{_title})\.? (?P<alone>{_family}))")
@@ -211,16 +214,13 @@ def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
             found.append((start, end, kind, make(value)))
 
     has_digit = any(d in text for d in _DIGITS)
-    if "@" in text or has_digit or "-----BEGIN" in text or "=" in text or ":" in text:
-        for kind, pattern in _compiled:
-            if kind == "email" and "@" not in text or kind == "private_key" and "-----BEGIN" not in text:
-                continue
-            if kind in ("iban", "mac", "ip", "ssn", "card", "phone", "number") and not has_digit:
-                continue
-            for m in pattern.finditer(text):
-                g = "value" if "value" in pattern.groupindex else 0
-                add(m.start(g), m.end(g), kind, m[g], lambda v, kind=kind: surrogate(kind, v, key))
-    if not _starts.isdisjoint(text.replace(",", " ").replace(".", " ").split()):
+    for kind, pattern, marks in _compiled:
+        if not has_digit if marks is None else not any(x in text for x in marks):
+            continue
+        for m in pattern.finditer(text):
+            g = "value" if "value" in pattern.groupindex else 0
+            add(m.start(g), m.end(g), kind, m[g], lambda v, kind=kind: surrogate(kind, v, key))
+    if not _starts.isdisjoint(_parts(text)):  # what _person begins with is a whole part
         for m in _person.finditer(text):
             for g in ("last", "alone"):
                 if m[g] and m[g][0].isupper():
