@@ -58,6 +58,17 @@ def test_documents(spark):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def test_the_pipeline_takes_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    base, more = [f"w{i}" for i in range(1000)], [f"v{i}" for i in range(400)]
+    docs = [(1, base), (2, base + more[:215]), (3, base[180:]), (4, more[:150] + base[:750] + more[150:300])]  # 0.82 and 0.82 of base, and less
+    got = corpus_pipeline.drop_copies(spark, make(spark, [(i, " ".join(w)) for i, w in docs]), None)
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 4]
+    thin = minhash.near_duplicates(make(spark, [(i, " ".join(w)) for i, w in docs])).filter("kept")
+    assert thin.count() == 4
+
+
 def test_no_documents_and_no_ids(spark):
     assert minhash.near_duplicates(make(spark, [])).count() == 0
     got = minhash.near_duplicates(make(spark, [(None, "a b c d"), (3, "a b c d"), (None, "else"), (None, None)])).collect()
