@@ -13,15 +13,17 @@ or a title, before a capitalised word). Each is replaced by one of its own kind:
 
 Each map is one-to-one on the values of a format, so different people stay different, and
 it depends on nothing but key, kind and value (letter case and, for numbers, separators
-apart), so a value has the same surrogate in all documents. ``collisions`` checks both over
-a table of entities. A surrogate never equals its original.
+apart), so a value has the same surrogate in all documents. A surrogate never equals its
+original where any of its characters is permuted.
 
-One pass, no shuffle. Defined results: null text stays null with 0 entities; repeated rows
+``op5_pii`` checks both over the entities of all documents, as keyed digests, and fails if
+two originals have one surrogate or one has two. ``pseudonymise`` alone is one pass without
+shuffle. Defined results: null text stays null with 0 entities; repeated rows
 are treated alike; an empty table gives no rows. Other columns are carried along.
 """
 
-import hashlib
 import hmac
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -49,9 +51,10 @@ _first = {n: at for at, names in NAMES.items() for n in names}
 _starts = set(_first) | set(TITLES)
 _parts = re.compile(r"\w+").findall
 
-#: Letters that may stand for one another; a letter in none of them stays as it is.
+#: Letters that may stand for one another; a letter in none of them stays as it is. ß and ς are
+#: in none: their capitals are those of other letters, so two values could become one.
 _VOWELS, _CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
-_SETS = [_VOWELS, _CONSONANTS, "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñðþßšžčćđğłńř", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "αεηιοωυάέήίόύώ", "βγδζθκλμνξπρσςτφχψ"]
+_SETS = [_VOWELS, _CONSONANTS, "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñðþšžčćđğłńř", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "αεηιοωυάέήίόύώ", "βγδζθκλμνξπρστφχψ"]
 _set_of = {c: s for s in _SETS for c in s}
 _ALPHA = {c: "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"} | {c: s for s in _SETS[2:] for c in s}
 
@@ -80,27 +83,33 @@ _person = re.compile(rf"(?<!\w)(?:(?:(?:{_title})\.? )?(?P<first>{_given})(?!\w)
 
 
 def _number(key: bytes, *parts: object) -> int:
-    return int.from_bytes(hmac.new(key, "\x00".join(map(str, parts)).encode(), hashlib.sha256).digest(), "big")
+    return int.from_bytes(hmac.digest(key, "\x00".join(map(str, parts)).encode(), "sha256"), "big")
 
 
 def permute(key: bytes, kind: str, values: list[int], radices: list[int]) -> list[int]:
-    """A keyed one-to-one map of mixed-radix numbers: a Feistel network on two halves."""
+    """A keyed one-to-one map of mixed-radix numbers that maps none to itself.
+
+    A number goes through a Feistel network on two halves, on by a step, and back through
+    the network: as the step leaves no number where it is, nor does the whole. The step has
+    no divisor in common with the count of numbers, so they are all on one cycle."""
     n = len(values)
     if n == 0:
         return values
     if n == 1:
         return [_order(key, kind, radices[0])[values[0]]]
     h = n // 2
-    sizes = [1, 1]
-    for i, r in enumerate(radices):
-        sizes[i >= h] *= r
+    shape = ",".join(map(str, radices))
+    sizes, step = _step(key, kind, shape)
     halves = [0, 0]
     for i, v in enumerate(values):
         halves[i >= h] = halves[i >= h] * radices[i] + v
-    shape = ",".join(map(str, radices))
     for k in range(ROUNDS):
         a, b = k % 2, 1 - k % 2
         halves[a] = (halves[a] + _number(key, kind, shape, k, halves[b])) % sizes[a]
+    halves = list(divmod((halves[0] * sizes[1] + halves[1] + step) % (sizes[0] * sizes[1]), sizes[1]))
+    for k in range(ROUNDS - 1, -1, -1):
+        a, b = k % 2, 1 - k % 2
+        halves[a] = (halves[a] - _number(key, kind, shape, k, halves[b])) % sizes[a]
     out = [0] * n
     for i in range(n - 1, -1, -1):
         side = i >= h
@@ -108,6 +117,18 @@ def permute(key: bytes, kind: str, values: list[int], radices: list[int]) -> lis
     return out
 
 
+@lru_cache(maxsize=4096)
+def _step(key: bytes, kind: str, shape: str) -> tuple[tuple[int, int], int]:
+    """Sizes of the two halves of a shape, and the step."""
+    radices = list(map(int, shape.split(",")))
+    sizes = math.prod(radices[: len(radices) // 2]), math.prod(radices[len(radices) // 2 :])
+    total = sizes[0] * sizes[1]
+    step = 1 + _number(key, kind, shape, "step") % (total - 1)
+    while math.gcd(step, total) > 1:
+        step = step % (total - 1) + 1
+    return sizes, step
+
+
 @lru_cache(maxsize=4096)
 def _order(key: bytes, kind: str, n: int) -> tuple[int, ...]:
     """A keyed cycle through 0..n-1: no number is mapped to itself if n > 1."""
@@ -123,10 +144,8 @@ def _letters(key: bytes, kind: str, text: str, alphabets) -> str:
     low = [c.lower() if len(c.lower()) == 1 else c for c in text]
     at = [i for i, c in enumerate(low) if alphabets(c)]
     sets = [alphabets(low[i]) for i in at]
-    start = values = [s.index(low[i]) for i, s in zip(at, sets, strict=True)]
+    values = [s.index(low[i]) for i, s in zip(at, sets, strict=True)]
     values = permute(key, kind, values, [len(s) for s in sets])
-    if values == start:  # a fixed point
-        values = permute(key, kind + "'", values, [len(s) for s in sets])
     out = list(text)
     for i, v, s in zip(at, values, sets, strict=True):
         out[i] = s[v].upper() if text[i].isupper() else s[v]
@@ -137,6 +156,7 @@ _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 _digit = lambda c: _DIGITS if c in _DIGITS else ""
 _hex = lambda c: _HEX if c in _HEX else ""
 _any = lambda c: _DIGITS if c in _DIGITS else _ALPHA.get(c, "")
+_is_hex = re.compile(r"[0-9a-fA-F:]+").fullmatch
 _sound = lambda c: _set_of.get(c, "")
 
 
@@ -154,20 +174,21 @@ def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
         body, _, top = value.rpartition(".")
         return _letters(key, kind, body, _any) + "." + top
     if kind in ("secret", "private_key", "mac"):
-        if re.fullmatch(r"[0-9a-fA-F:]+", value):
+        if _is_hex(value):
             made = _letters(key, kind, value, _hex)
             return made.upper() if value.upper() == value else made
         if kind == "private_key":
             head, tail = value.index("-----", 5) + 5, value.rindex("-----END")
             return value[:head] + _letters(key, kind, value[head:tail], _any) + value[tail:]
-        return _letters(key, kind, value, _any)
+        made = _letters(key, kind, value, _any)
+        while _is_hex(made):  # walks on, as those are surrogates of hexadecimal values
+            made = _letters(key, kind, made, _any)
+        return made
     if kind == "ip":
         octets = value.split(".")
         low, radix = {1: 0, 2: 10, 3: 100}, {1: 10, 2: 90, 3: 156}
         start = [int(x) - low[len(x)] for x in octets]
         made = permute(key, kind, start, [radix[len(x)] for x in octets])
-        if made == start:
-            made = permute(key, kind + "'", start, [radix[len(x)] for x in octets])
         return ".".join(str(v + low[len(x)]) for v, x in zip(made, octets, strict=True))
     if kind == "iban":
         return value[:2] + _letters(key, kind, value[2:], _any)
@@ -179,7 +200,7 @@ def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
     made = digits
     while True:  # a walk along the permutation's cycle stays one-to-one
         made = made[:fixed] + "".join(map(str, permute(key, kind, [int(c) for c in made[fixed:]], [10] * (len(made) - fixed))))
-        if not valid or luhn(made):
+        if kind != "card" or luhn(made) == valid:  # so one that is not valid never meets one that is
             break
     out = list(value)
     for i, c in zip(at, made, strict=True):
@@ -257,24 +278,37 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
     return docs.withColumn("_made", made(F.col(text_col).cast("string"))).select(*rest, F.col("_made.text").alias(text_col), "_made.n_entities", "_made.kinds")
 
 
-def entity_table(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """doc_id, kind, original and surrogate of every entity; for checks, as it holds what is hidden elsewhere."""
+def _digest(key: bytes, kind: str, value: str) -> bytes:
+    """Stands for a value in tables that are written."""
+    return hmac.digest(key, f"digest\x00{kind}\x00{value.lower()}".encode(), "sha256")[:16]
+
+
+def entity_table(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+    """kind, and digests of original and surrogate (letter case apart), of every entity; those of a batch once."""
 
     def run(parts):
         for p in parts:
-            rows = [(d, kind, t[s:e], made) for d, t in zip(p["doc_id"], p["text"], strict=True) if isinstance(t, str) for s, e, kind, made in entities(t, key)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "original", "surrogate"])
+            rows = {(kind, t[s:e].lower(), made.lower()) for t in p[text_col] if isinstance(t, str) for s, e, kind, made in entities(t, key)}
+            yield pd.DataFrame([(k, _digest(key, k, a), _digest(key, k, b)) for k, a, b in rows], columns=["kind", "original", "surrogate"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, kind string, original string, surrogate string")
+    return docs.select(F.col(text_col).cast("string").alias(text_col)).mapInPandas(run, "kind string, original binary, surrogate binary")
 
 
 def collisions(found: DataFrame) -> DataFrame:
     """Surrogates of ``entity_table`` that stand for several originals, and originals with several surrogates; none is right."""
-    pairs = found.select("kind", F.lower("original").alias("original"), F.lower("surrogate").alias("surrogate")).distinct()
+    pairs = found.select("kind", "original", "surrogate").distinct()
     merged = pairs.groupBy("kind", F.col("surrogate").alias("value")).count().filter("count > 1").withColumn("fault", F.lit("merged"))
     split = pairs.groupBy("kind", F.col("original").alias("value")).count().filter("count > 1").withColumn("fault", F.lit("split"))
     return merged.unionByName(split)
 
 
+def checked(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+    """``pseudonymise``, after ``collisions`` has found none over all entities; raises if there are any."""
+    faults = {r["fault"]: r["n"] for r in collisions(entity_table(docs, key, text_col)).groupBy("fault").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if faults:
+        raise ValueError(f"surrogates are not one-to-one: {faults}")
+    return pseudonymise(docs, key, text_col)
+
+
 def op5_pii(spark, sf_dir):
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return checked(table(spark, sf_dir, "documents").select("doc_id", "text"))

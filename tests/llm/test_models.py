@@ -97,6 +97,34 @@ def test_surrogates_are_one_to_one():
     assert sorted(map(pii.first_name, names)) == sorted(names) and all(pii.first_name(n) != n for n in names)
 
 
+def test_surrogates_of_whole_formats_are_one_to_one():
+    def one_to_one(made):
+        assert len({x.lower() for x in made.values()}) == len(made) and all(a.lower() != b.lower() for a, b in made.items())
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for key in (bytes([k]) for k in range(12)):
+        one_to_one({a + b: pii.last_name(a + b, key) for a in letters.upper() for b in letters})
+        one_to_one({v: pii.surrogate("ip", v, key) for a in range(10) for b in range(10) for v in [f"{a}.{b}.1.2"]})
+        values = [[a, b] for a in range(6) for b in range(20)]
+        assert sorted(pii.permute(key, "t", v, [6, 20]) for v in values) == values and all(pii.permute(key, "t", v, [6, 20]) != v for v in values)
+    one_to_one({n: pii.last_name(n) for n in (a + b for a in "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ" for b in "βγδζθκλμνξπρσςτφχψ")})
+    cards = [f"41111111111{i:05d}" for i in range(3000)]  # valid and not
+    assert all(pii.luhn(pii.surrogate("card", v)) == pii.luhn(v) for v in cards)
+    assert not any(pii._is_hex(pii.surrogate("secret", v)) for v in (a + b + "zzzz" for a in letters for b in letters))
+
+
+def test_op5_fails_on_collisions(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "Mr. Ng met (Mr. Li)."), (2, "Mr. Li, and Mr. NG; 10.0.0.1"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.checked(d).collect()}
+    assert got[1]["n_entities"] == 2 and got[2]["kinds"] == "ip,last_name,last_name" and got[3]["text"] is None
+    found = [("x", b"a", b"1"), ("x", b"b", b"1"), ("x", b"c", b"2"), ("x", b"c", b"3"), ("y", b"a", b"1")]
+    table = spark.createDataFrame(found, "kind string, original binary, surrogate binary")
+    assert sorted(r["fault"] for r in pii.collisions(table).collect()) == ["merged", "split"]
+    monkeypatch.setattr(pii, "entity_table", lambda *_: table)
+    with pytest.raises(ValueError, match="merged"):
+        pii.checked(d)
+
+
 def test_combinations_and_plan():
     assert packing.combinations(6, 3) == [(6,), (5, 1), (4, 2), (4, 1, 1), (3, 3), (3, 2, 1), (2, 2, 2)]
     a = np.array([[1.0, 0, 1], [0, 1, 1]])
