@@ -78,7 +78,10 @@ def dedup_paragraphs(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, METHOD.label)
     lines = removals(scratch, docs, METHOD).withColumnRenamed("_rid", "rid")
     found = passages.runs(scratch, docs.select(row_id().alias("rid"), "doc_id", "text"))
-    found = found.groupBy("rid").agg(F.collect_list(F.struct("start", "end", "first_start", "left", "right")).alias("runs"))
+    found = scratch.write(found)
+    by_text = lambda x: x.groupBy("rid").agg(F.collect_list(F.struct("start", "end", "first_start", "left", "right")).alias("runs"))
+    texts = docs.select(row_id().alias("rid"), "doc_id", "text").join(by_text(found).hint("merge"), "rid")
+    found = by_text(found.unionByName(passages.rest(scratch, texts)))
     rid, gone, runs, made = fresh(docs.columns, "_rid", "_gone", "_runs", "_made")
     both = scratch.write(lines.join(found, "rid", "full").select(F.col("rid").alias(rid), F.col("_gone").alias(gone), F.col("runs").alias(runs)))
 

@@ -8,7 +8,13 @@ are. Equal windows are one group; its smallest (doc_id, place) is the first. Win
 text that follow one another as their firsts do are one run. A run is extended word by
 word on both sides as far as the text with the firsts agrees, ``SELECT`` words at most,
 beyond which another window would have been selected. Runs that reach ``MIN_PASSAGE``
-words are repeats; shorter ones are left alone.
+words are repeats.
+
+What a text shares with others than the firsts is found by ``rest``: of a text with runs,
+each stretch of ``MIN_PASSAGE`` words that holds a window of a run and is not part of a
+repeat is grouped with its equals, and all but the first occurrence are repeats as well.
+No stretch is lost by that: if its first occurrence lies where a window of it occurs first
+of all, the run with that window covers it; else it is in no repeat there, and has a run.
 
 Hashes of 128 bits stand for windows. Words are compared after lower-casing A-Z.
 
@@ -141,17 +147,81 @@ def runs(scratch: Scratch, docs: DataFrame) -> DataFrame:
     return out.select("rid", "start", "end", F.when(F.col("rid") == F.col("first_rid"), F.col("first_start")).alias("first_start"), "left", "right")
 
 
+def rest(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """Runs (as ``runs`` has them, without context) of docs (rid, doc_id, text, runs) in stretches that no run covers."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                item, pos, hashes = [], [], []
+                for i in range(at, min(at + 128, batch.num_rows)):
+                    w = near.word_hashes(batch.column(2)[i].as_py().encode().lower())[0]
+                    found = batch.column(3)[i].as_py()
+                    begins = _uncovered(w.astype("<u4"), found)
+                    if len(begins):
+                        item.append(np.full(len(begins), i))
+                        pos.append(begins)
+                        hashes.append(_stretches(w, begins))
+                if item:
+                    item, h = np.concatenate(item), np.concatenate(hashes).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(item)), batch.column(1).take(pa.array(item)), pa.array(np.concatenate(pos), pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["rid", "doc_id", "pos", "h1", "h2"])
+
+    seen = docs.select("rid", F.col("doc_id").cast("long"), "text", "runs").mapInArrow(run, "rid long, doc_id long, pos int, h1 long, h2 long")
+    seen = scratch.write(seen.distinct())
+    firsts = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("f.rid").alias("first_rid"), F.col("f.pos").alias("first_pos"))
+    again = seen.join(firsts.hint("merge"), ["h1", "h2"]).filter((F.col("rid") != F.col("first_rid")) | (F.col("pos") != F.col("first_pos")))
+    none = F.lit(b"")
+    again = again.select("rid", F.col("pos").alias("start"), (F.col("pos") + MIN_PASSAGE).alias("end"), F.when(F.col("rid") == F.col("first_rid"), F.col("first_pos")).alias("first_start"), none.alias("left"), none.alias("right"))
+    out = scratch.write(again)
+    scratch.drop(seen)
+    return out
+
+
+def _stretches(w: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Two hashes of the MIN_PASSAGE words from each of begins."""
+    up, down = near._pow(len(w) + 1)
+    both = []
+    for k in range(2):
+        sums = np.append(np.uint64(0), np.cumsum(near.mix(w + np.uint64(k)) * up[: len(w)]))
+        both.append(near.mix((sums[begins + MIN_PASSAGE] - sums[begins]) * down[begins] + np.uint64(k)))
+    return np.stack(both, 1)
+
+
+def _extended(w: np.ndarray, r: dict) -> tuple[int, int]:
+    """Start and end of a run with the words around it that agree."""
+    left, right = np.frombuffer(r["left"], "<u4"), np.frombuffer(r["right"], "<u4")
+    s, e = r["start"], r["end"]
+    return s - _common(w[max(0, s - len(left)) : s][::-1], left), e + _common(w[e : e + len(right)], right)
+
+
+def _uncovered(w: np.ndarray, found: list[dict]) -> np.ndarray:
+    """Starts of the stretches of MIN_PASSAGE words that hold a window of a run and lie in no run."""
+    if len(w) < MIN_PASSAGE:
+        return np.zeros(0, np.int64)
+    wanted = np.zeros(len(w) + 1, np.int64)
+    covered = np.zeros(len(w) + 1, np.int64)
+    last = len(w) - MIN_PASSAGE + 1  # starts are before this
+    for r in found:
+        lo, hi = max(0, r["start"] + WINDOW - MIN_PASSAGE), min(last, r["end"] - WINDOW + 1)
+        if lo < hi:
+            wanted[lo] += 1
+            wanted[hi] -= 1
+        s, e = _extended(w, r)
+        if e - s >= MIN_PASSAGE:
+            covered[s] += 1
+            covered[e - MIN_PASSAGE + 1] -= 1
+    return np.flatnonzero((np.cumsum(wanted) > 0) & (np.cumsum(covered) == 0))
+
+
 def repeats(text: str, found: list[dict]) -> list[tuple[int, int]]:
     """Ranges of characters (start, end) of the repeats of a text with these runs, apart from each other and in order."""
     w = near.word_hashes(text.encode().lower())[0].astype("<u4")
     gone, kept = np.zeros(len(w), bool), np.zeros(len(w), bool)
     for r in found:
-        left, right = np.frombuffer(r["left"], "<u4"), np.frombuffer(r["right"], "<u4")
         s, e = r["start"], r["end"]
-        a = w[max(0, s - len(left)) : s][::-1]
-        b = w[e : e + len(right)]
-        s2 = s - _common(a, left)
-        e2 = e + _common(b, right)
+        s2, e2 = _extended(w, r)
         if e2 - s2 < MIN_PASSAGE:
             continue
         gone[s2:e2] = True

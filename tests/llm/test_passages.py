@@ -65,3 +65,24 @@ def test_passages_are_cut_to_the_word(spark):
             at = s["end"]
         assert " ".join([*kept, text[at:]]).split() == x["text"].split()
     assert paragraphs.dedup_paragraphs(d.limit(0)).count() == 0
+
+
+def test_a_passage_of_which_an_earlier_document_has_a_part(spark):
+    r = random.Random(17)
+    some = lambda n: [f"x{r.randrange(10**9)}" for _ in range(n)]
+    docs, want = [], {}
+    for k in range(0, 120, 3):  # a has less of what b and c share; in every second case d shares more with c
+        whole, more = some(60 + k % 7 * 20), some(40)
+        at = k % 12
+        for i, words, left in ((k, whole[at : at + 40], None), (k + 1, whole, None), (k + 2, whole + more, more)):
+            before, after = some(20), some(20)
+            docs.append((i, " ".join(before + words + after)))
+            want[i] = before + (words if left is None else left) + after
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: x["text"].split() for x in paragraphs.dedup_paragraphs(d).collect()}
+    assert [i for i in want if got[i] != want[i]] == []
+    seen = set()
+    for words in got.values():
+        own = {tuple(words[k : k + 50]) for k in range(len(words) - 49)}
+        assert not own & seen
+        seen |= own
