@@ -1,7 +1,8 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard, components.
 
-A paragraph is a line of ``MIN_WORDS`` words or more; its set is its 5-word shingles after
-lower-casing A-Z. A sketch holds ``BANDS * ROWS`` MinHash values, 16 bits each, and a band
+A paragraph is a line; its set is its 5-word shingles after lower-casing A-Z, where each
+character of a script without blanks is a word. With fewer than ``MIN_WORDS`` words only
+equal paragraphs can reach a likeness of 0.8 (3 shingles of 4 are too few). A sketch holds ``BANDS * ROWS`` MinHash values, 16 bits each, and a band
 of it is a bucket key; the number of bands is the fewest that show a pair at a likeness of
 0.8 with probability ``RECALL``. Of the paragraphs that collide, those whose sketches
 agree too little (more than 5 standard deviations under 0.8) are dropped; the others are
@@ -17,6 +18,8 @@ See ``segments`` for what happens to nulls, copies and empty tables.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,17 +28,27 @@ from . import near, passages
 from .common import Scratch, fresh, table
 from .segments import Method, removals, row_id
 
-SHINGLE, PERCENT, ROWS, RECALL, MIN_WORDS = 5, 80, 4, 0.998, 10
+SHINGLE, PERCENT, ROWS, RECALL, MIN_WORDS = 5, 80, 4, 0.998, 8
 BANDS = near.banding(PERCENT / 100, ROWS, RECALL)
 SAMPLES = BANDS * ROWS
 _likeness = PERCENT / 100
 MAX_APART = int(np.ceil(SAMPLES * (1 - _likeness) + 5 * (SAMPLES * _likeness * (1 - _likeness)) ** 0.5))
 
 
+#: Thai, Lao, Burmese, Khmer, kana, Han; marks stay with their letter.
+_unspaced = re.compile("([\u0e01-\u0e30\u0e32\u0e33\u0e40-\u0e46\u0e81-\u0eb0\u0eb2\u0eb3\u0ebd-\u0ec6\u1000-\u102a\u1780-\u17b3\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af])")
+
+
 def normalise(text: str) -> bytes:
+    if not text.isascii():
+        text = _unspaced.sub(r" \1", text)
     return text.encode().lower()
 
 
+def fuzzy(items: near.Items) -> np.ndarray:
+    return items.n_words >= MIN_WORDS
+
+
 def sketch(items: near.Items) -> np.ndarray:
     hashes, first = items.shingles(SHINGLE)
     return np.ascontiguousarray((near.minima(hashes, first, SAMPLES) >> np.uint64(24)).astype(np.uint16)).view(np.uint8)
@@ -45,7 +58,7 @@ def labels(items: list[bytes], known: np.ndarray | None = None) -> np.ndarray:
     return near.set_labels(items, SHINGLE, PERCENT, known)
 
 
-METHOD = Method("paragraphs", normalise, sketch, [(2 * ROWS * b, 2 * ROWS) for b in range(BANDS)], near.samples_apart, MAX_APART, labels, MIN_WORDS)
+METHOD = Method("paragraphs", normalise, sketch, [(2 * ROWS * b, 2 * ROWS) for b in range(BANDS)], near.samples_apart, MAX_APART, labels, 1, fuzzy, False)
 
 
 def shorten(text: str, gone: list[int], ranges: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:

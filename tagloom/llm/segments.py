@@ -33,7 +33,9 @@ class Method:
     apart: Callable
     limit: int
     labels: Callable[[list[bytes], np.ndarray | None], np.ndarray]
-    min_words: int
+    min_words: int  # segments with fewer stay
+    fuzzy: Callable[[near.Items], np.ndarray]  # which items are compared by likeness
+    masks: bool  # whether normalising makes different digits or marks equal
     most_items: int | None = None  # a group beyond these is compared in blocks
     most_chars: int | None = None
 
@@ -44,7 +46,7 @@ def row_id():
 
 
 def occurrences(docs: DataFrame, method: Method) -> DataFrame:
-    """doc_id, rid, seg, digest and sk of the segments that have words enough."""
+    """doc_id, rid, seg, digest and sk of the segments that are not blank; sk is null for those compared for equality only."""
 
     def run(batches):
         import pyarrow as pa
@@ -53,14 +55,27 @@ def occurrences(docs: DataFrame, method: Method) -> DataFrame:
             ids, rids, texts = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
             for at in range(0, batch.num_rows, 128):
                 lines = [method.normalise(x.as_py() or "").split(b"\n") for x in texts[at : at + 128]]
-                items = near.Items([y for x in lines for y in x])
+                flat = [y for x in lines for y in x]
+                items = near.Items(flat)
                 many = np.fromiter(map(len, lines), np.int64, len(lines))
                 row = np.repeat(np.arange(len(lines)), many)
                 seg = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                good = np.flatnonzero(items.n_words >= method.min_words)
-                items = items.only(good)
+                fuzzy = method.fuzzy(items)
+                digests = items.sequence_hashes()
+                if method.masks:
+                    own = [i for i in np.flatnonzero(~fuzzy).tolist() if b"0" in flat[i] or not items.n_words[i]]
+                    raw = [y for x in texts[at : at + 128] for y in (x.as_py() or "").encode().split(b"\n")] if own else []
+                    exact = near.Items([raw[i] for i in own])
+                    digests[own] = exact.sequence_hashes()
+                    words = items.n_words.copy()
+                    words[own] = exact.n_words
+                else:
+                    words = items.n_words
+                good = np.flatnonzero(words >= method.min_words)
+                at_fuzzy = np.flatnonzero(fuzzy)
+                place = pa.array(np.where(fuzzy, np.cumsum(fuzzy) - 1, 0)[good], mask=~fuzzy[good])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[good] + at)), pa.array(rids[row[good] + at]), pa.array(seg[good], pa.int32()), near.binary(items.sequence_hashes()), near.binary(method.sketch(items))],
+                    [ids.take(pa.array(row[good] + at)), pa.array(rids[row[good] + at]), pa.array(seg[good], pa.int32()), near.binary(digests[good]), near.binary(method.sketch(items.only(at_fuzzy))).take(place)],
                     names=["doc_id", "rid", "seg", "digest", "sk"],
                 )
 
@@ -99,7 +114,8 @@ def removals(scratch: Scratch, docs: DataFrame, method: Method) -> DataFrame:
     slim = scratch.write(seen.select("rid", "seg", "digest"))
     scratch.drop(seen)
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sk", first + 1, length)) for b, (first, length) in enumerate(method.blocks)])
-    links = near.candidates(scratch, classes.select(F.explode(keys).alias("key"), "id"), classes.select("id", "sk"), method.apart, method.limit)
+    sketched = classes.filter(F.col("sk").isNotNull())
+    links = near.candidates(scratch, sketched.select(F.explode(keys).alias("key"), "id"), sketched.select("id", "sk"), method.apart, method.limit)
     one = classes.select("id", "digest", "at", "n")
     if links.isEmpty():
         one = one.withColumn("label", F.col("id"))

@@ -138,6 +138,19 @@ def test_segments(spark, method):
     assert remove(make(spark, []), method).count() == 0
 
 
+@pytest.mark.parametrize("method", [lines.METHOD, paragraphs.METHOD])
+def test_short_segments_and_scripts_without_blanks(spark, method):
+    from tagloom.llm.segments import remove
+
+    r = random.Random(6)
+    han = "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(120))
+    texts = [(1, f"Share this page\n12\n{han}\n---\n \n17"), (2, f"share this page\n34\n{han}\n---\n \n17"), (3, "本文です\n\nall new"), (4, "本文です\n\nall  new\n12")]
+    got = {x["doc_id"]: x["removed"] for x in remove(make(spark, texts), method).collect()}
+    assert got == {1: [], 2: [0, 2, 3, 5], 3: [], 4: [0, 2, 3]}
+    if method is paragraphs.METHOD:  # 116 shingles each, of which 111 are shared
+        assert [x["removed"] for x in remove(make(spark, [(1, han), (2, han[:60] + "新" + han[61:])]), method).orderBy("doc_id").collect()] == [[], [0]]
+
+
 def test_word_hashes_do_not_depend_on_where_a_word_is(monkeypatch):
     text = ("some words, and é ß more of them; " * 50).encode()
     monkeypatch.setattr(near, "_SEGMENT", 64)
