@@ -107,7 +107,9 @@ class Items:
     def __init__(self, parts: list[bytes]):
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         begins = np.cumsum(sizes + 1) - sizes - 1
-        self.words, starts, self.sizes = _scan(b"\n".join(parts))
+        buffer = b"\n".join(parts)
+        self.words, starts, self.sizes = _scan(buffer)
+        self._buffer, self._kept = buffer, None
         self.first = np.append(np.searchsorted(starts, begins), len(starts)).astype(np.int64)
         self.n_words = np.diff(self.first)
 
@@ -123,8 +125,29 @@ class Items:
         out.first = np.append(0, np.cumsum(kept))[np.append(self.first[:-1][items], self.first[-1])]
         out.first[-1] = len(out.words)
         out.n_words = np.diff(out.first)
+        out._buffer, out._kept = self._buffer, kept
+        if self._kept is not None:
+            out._kept = self._kept.copy()
+            out._kept[self._kept] = kept
         return out
 
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all stretches of k bytes of an item's words without the blanks, and first[i]..first[i+1] by item."""
+        a = np.frombuffer(self._buffer, np.uint8)
+        a = a[~_BLANK[a]]
+        if self._kept is not None:
+            a = a[np.repeat(self._kept, _scan(self._buffer)[2])]
+        begin = np.append(0, np.cumsum(self.sizes))[self.first]
+        n = np.diff(begin)
+        many = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
+        first = np.append(0, np.cumsum(many))
+        at = np.repeat(begin[:-1], many) + np.arange(first[-1]) - np.repeat(first[:-1], many)
+        a = np.append(a, np.zeros(k, np.uint8)).astype(np.uint64)
+        h = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            h |= a[at + j] << np.uint64(8 * j)
+        return mix(h + _MULT), first
+
     def sequence_hashes(self) -> np.ndarray:
         """Two 64-bit hashes of each item's word sequence."""
         n, out = len(self.n_words), np.zeros((len(self.n_words), 2), np.uint64)

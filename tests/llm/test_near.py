@@ -138,6 +138,23 @@ def test_segments(spark, method):
     assert remove(make(spark, []), method).count() == 0
 
 
+def test_lines_with_a_letter_changed_in_most_words_meet():
+    r = random.Random(12)
+    found = 0
+    for _ in range(200):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(9, 14))) for _ in range(12)]
+        noisy = [w if r.random() < 0.3 else w[:k] + "0" + w[k + 1 :] for w in words for k in [r.randrange(len(w))]]
+        a, b = " ".join(words).encode(), " ".join(noisy).encode()
+        assert lines.similar(a, b)
+        x, y = lines.sketch(near.Items([a, b]))
+        found += bool(lines.apart(x, y) <= lines.MAX_APART and any((x[s : s + n] == y[s : s + n]).all() for s, n in lines.METHOD.blocks))
+    assert found > 120
+    items = near.Items([b"ab cdefg hi", b"x", b"", b"other words of it"])
+    h, first = items.grams(5)
+    one, at = items.only(np.array([0, 3])).grams(5)
+    assert first.tolist() == [0, 5, 6, 6, 16] and at.tolist() == [0, 5, 15] and (one == np.append(h[:5], h[6:])).all()
+
+
 @pytest.mark.parametrize("method", [lines.METHOD, paragraphs.METHOD])
 def test_short_segments_and_scripts_without_blanks(spark, method):
     from tagloom.llm.segments import remove
