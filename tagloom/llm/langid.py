@@ -12,8 +12,8 @@ Training: lines of labelled documents, at most ``TRAIN_LINES`` for each language
 documented bound; drawn by a hash of document and line, so any of them may be and reruns
 agree), of ``TRAIN_WORDS`` words in the middle of longer ones. A line's words have its
 document's language; a third of the sequences splice pieces of two lines, so that
-transitions between languages are seen. The model is a small array, sent to the executors
-with the function.
+transitions between languages are seen. All languages of the labels are learned; the model
+takes ``SLOTS`` numbers (0.5 MB) for each, and is sent to the executors with the function.
 
 A text is cut into sequences of ``SEQUENCE`` words, all of them labelled; only ties across
 those cuts are lost.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 TRAIN_LINES, TRAIN_WORDS, EPOCHS, BATCH, RATE, L2 = 1500, 60, 4, 32, 0.2, 1e-6
-SLOTS, SEQUENCE, CACHE_WORDS, LEXICON, MAX_LANGUAGES, FOLD_SEED = 1 << 17, 64, 400_000, 300, 64, 17
+SLOTS, SEQUENCE, CACHE_WORDS, LEXICON, FOLD_SEED = 1 << 17, 64, 400_000, 300, 17
 UNKNOWN = "und"
 _letters = regex.compile(r"\p{L}+").findall
 
@@ -213,16 +213,15 @@ def fit(docs: DataFrame, train_lines: int = TRAIN_LINES) -> Model:
     """Learn from a bounded sample of lines of labelled documents (text, lang, and doc_id for the fold)."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(), F.lit(0)) != 1))
     lines = labelled.select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"\p{L}"))
-    counts = lines.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = lines.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return train([])
     # about twice as many as are wanted pass by their hash, so what is sorted and sent has a bound at any size
     key = F.xxhash64("doc_id", "pos", "line")
-    passes = F.lit(False)
-    for language, n in counts:
-        passes = F.when(F.col("lang") == language, F.pmod(key, F.lit(n)) < 2 * train_lines + 100).otherwise(passes)
     middle = F.expr("substring(line, cast(greatest(1, length(line) div 2 - 400) as int), 800)")  # about TRAIN_WORDS words around the middle
-    drawn = lines.filter(passes).select("lang", key.alias("_key"), middle.alias("line"))
+    own_counts = docs.sparkSession.createDataFrame([tuple(r) for r in counts], "lang string, _n long")
+    passing = lines.join(F.broadcast(own_counts), "lang").filter(F.pmod(key, F.col("_n")) < 2 * train_lines + 100)
+    drawn = passing.select("lang", key.alias("_key"), middle.alias("line"))
     own = Window.partitionBy("lang").orderBy("_key", "line")
     drawn = drawn.withColumn("_place", F.row_number().over(own)).filter(F.col("_place") <= train_lines)
     return train([(r[0], r[1]) for r in drawn.select("lang", "line", "_place").orderBy("lang", "_place").collect()])

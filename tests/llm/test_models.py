@@ -54,6 +54,17 @@ def test_language_of_held_out_and_odd_texts(spark):
     assert langid.predict(d.select("doc_id", "text"), none).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_all_languages_are_learned(spark):
+    r = random.Random(4)
+    words = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for k in range(70)}
+    rows = [(i * 100 + k, " ".join(r.choice(w) for _ in range(12)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(12 if k < 69 else 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d)
+    assert sorted(model.languages) == sorted(words)
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.predict(d.filter("lang = 'l69'"), model).collect()}
+    assert set(got.values()) == {"l69"}
+
+
 def test_long_texts_are_read_to_the_end(spark):
     model = langid.train([(lang, t) for _, t, lang in texts(90)])
     assert model.predict(["the of and " * 300 + "der die und nicht " * 3000])[0][0] == "de"
