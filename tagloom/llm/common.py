@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,8 @@ class Scratch:
     A written table survives the loss of executors and is computed once, where
     ``checkpoint()`` would compute its input twice."""
 
+    cleaned = 0.0
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
 
@@ -58,8 +61,10 @@ class Scratch:
             if getattr(x, "_tagloom_path", None):
                 path = jvm.org.apache.hadoop.fs.Path(x._tagloom_path)
                 path.getFileSystem(conf).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+        if time.monotonic() > Scratch.cleaned + 5:
+            gc.collect()
+            jvm.System.gc()
+            Scratch.cleaned = time.monotonic()
 
 
 def fresh(columns, *names: str) -> list[str]:

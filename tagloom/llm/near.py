@@ -1,16 +1,18 @@
 """What the near-duplicate operators share: shingle hashes, buckets, components, checks.
 
 Items (documents, paragraphs, lines) equal after normalising are one class. A class has a
-sketch and bucket keys. ``candidates`` links classes that meet in a bucket and whose
-sketches are not clearly apart; ``components`` gives connected groups of links; ``settle``
-compares whole items inside a group exactly. A group of candidates holds every link that
-a bucket shows, so the exact step loses none, and no pair list is made: within a bucket
-or group only a spanning forest of links is written.
-
-Hot groups: copies are collapsed before; a bucket over ``BIG_BUCKET`` links all its
-members to one leader (a superset of its links) without comparing them; a group over
-``MAX_ITEMS`` or ``MAX_CHARS`` is compared in blocks of bounded size, with a few of its
-items first, so that near copies of one text take time in proportion to their number.
+sketch and bucket keys. ``candidates`` (documents) and ``meet`` (lines and paragraphs, of
+which there are many more) link classes that meet in a bucket and whose sketches are not
+clearly apart; ``components`` gives connected groups of links; ``settle`` compares whole
+items inside a group exactly. A group of candidates holds every link that a bucket shows,
+so the exact step loses none, and no pair list is made: within a bucket or group only a
+spanning forest of links is written.
+
+Hot groups: copies are collapsed before; a bucket over ``BIG_BUCKET`` (``meet``: over
+``HOT`` among the ``FLUSH`` items that a task holds at a time, or over ``BIG_PART``) links
+all its members to one leader (a superset of its links) without comparing them; a group
+over ``MAX_ITEMS`` or ``MAX_CHARS`` is compared in blocks of bounded size, with a few of
+its items first, so that near copies of one text take time in proportion to their number.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from .common import Scratch
 
 BIG_BUCKET, MAX_ITEMS, MAX_CHARS, SMALL_BUCKET, PIVOTS = 1024, 4096, 16_000_000, 6, 8
 BROADCAST_IDS = 400_000
+FLUSH, HOT, BIG_PART, PART_ENTRIES, MAX_PARTS = 16_384, 256, 8192, 1 << 20, 1 << 20
+_ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("sk", "<u8"), ("size", "u1")])
+STEP, STEPS = 1.05, 6
 
 _rng = np.random.default_rng(7_654_321)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -109,7 +114,7 @@ class Items:
         begins = np.cumsum(sizes + 1) - sizes - 1
         buffer = b"\n".join(parts)
         self.words, starts, self.sizes = _scan(buffer)
-        self._buffer, self._kept = buffer, None
+        self._buffer, self._kept, self._all_sizes = buffer, None, self.sizes
         self.first = np.append(np.searchsorted(starts, begins), len(starts)).astype(np.int64)
         self.n_words = np.diff(self.first)
 
@@ -125,28 +130,29 @@ class Items:
         out.first = np.append(0, np.cumsum(kept))[np.append(self.first[:-1][items], self.first[-1])]
         out.first[-1] = len(out.words)
         out.n_words = np.diff(out.first)
-        out._buffer, out._kept = self._buffer, kept
+        out._buffer, out._kept, out._all_sizes = self._buffer, kept, self._all_sizes
         if self._kept is not None:
             out._kept = self._kept.copy()
             out._kept[self._kept] = kept
         return out
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all stretches of k bytes of an item's words without the blanks, and first[i]..first[i+1] by item."""
+        """Hashes of all stretches of k bytes (7 at most) of an item's words without the blanks, and first[i]..first[i+1] by item."""
         a = np.frombuffer(self._buffer, np.uint8)
         a = a[~_BLANK[a]]
         if self._kept is not None:
-            a = a[np.repeat(self._kept, _scan(self._buffer)[2])]
+            a = a[np.repeat(self._kept, self._all_sizes)]
         begin = np.append(0, np.cumsum(self.sizes))[self.first]
         n = np.diff(begin)
         many = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
         first = np.append(0, np.cumsum(many))
-        at = np.repeat(begin[:-1], many) + np.arange(first[-1]) - np.repeat(first[:-1], many)
-        a = np.append(a, np.zeros(k, np.uint8)).astype(np.uint64)
-        h = np.zeros(len(at), np.uint64)
-        for j in range(k):
-            h |= a[at + j] << np.uint64(8 * j)
-        return mix(h + _MULT), first
+        at = np.repeat(begin[:-1] - first[:-1], many) + np.arange(first[-1])
+        wide = np.zeros(len(a) + k, np.uint64)
+        wide[: len(a)] = a
+        h = wide[: len(a)].copy()
+        for j in range(1, k):
+            h |= wide[j : j + len(a)] << np.uint64(8 * j)
+        return mix(h[at] + _MULT), first
 
     def sequence_hashes(self) -> np.ndarray:
         """Two 64-bit hashes of each item's word sequence."""
@@ -318,6 +324,111 @@ def candidates(scratch: Scratch, keys: DataFrame, sketches: DataFrame, apart, li
     return out
 
 
+def sized(sketch: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(n, 2) sketches of 64 bits and sizes in steps of a twentieth, for ``sized_apart``."""
+    steps = np.minimum(255, np.log(np.maximum(sizes, 1)) / np.log(STEP))
+    return np.stack([sketch, steps.astype(np.uint64)], 1)
+
+
+def sized_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ; all of them if the sizes' ratio is surely under 0.8."""
+    far = np.abs(a[..., 1].astype(np.int16) - b[..., 1].astype(np.int16)) > STEPS
+    return np.where(far, 64, np.bitwise_count(a[..., 0] ^ b[..., 0]))
+
+
+def _flush(held: list, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of (part, key), where each part begins, and links of hot buckets, of held (ids, keys, sketches)."""
+    key = np.concatenate([k.ravel() for _, k, _ in held])
+    many = np.concatenate([np.full(len(k), k.shape[1]) for _, k, _ in held])
+    ids = np.repeat(np.concatenate([i for i, _, _ in held]), many)
+    order = np.lexsort((ids, key)) if len(key) else np.zeros(0, np.int64)
+    key, ids = key[order], ids[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))[: len(key)]  # repeated items
+    key, ids = key[new], ids[new]
+    sk = np.repeat(np.concatenate([x for _, _, x in held]), many, axis=0)[order[new]]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    size = np.diff(np.append(begin, len(key)))
+    hot, links = np.repeat(size > HOT, size), np.zeros((0, 2), np.int64)
+    if hot.any():
+        leader = np.repeat(begin, size)
+        later = hot & (leader != np.arange(len(key)))
+        links = np.unique(np.stack([ids[leader[later]], ids[later]], 1), axis=0)
+        key, ids, sk = key[~later], ids[~later], sk[~later]
+    out = np.empty(len(key), _ENTRY)
+    out["key"], out["id"], out["sk"], out["size"] = key.astype(np.uint32), ids, sk[:, 0], sk[:, 1]
+    part = (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    return out, np.searchsorted(part, np.arange(parts + 1)), links
+
+
+def meet(scratch: Scratch, docs: DataFrame, items_of, n_items: int, blocks: int, limit: int) -> DataFrame:
+    """Links (a, b) between items that share a bucket and are limit bits apart at most (``sized_apart``).
+
+    items_of(batch) yields lists of (ids, keys, sketches) for slices of a batch of docs: longs (n), a
+    key of 64 bits for each block (n, blocks), and what ``sized`` returns. n_items and
+    blocks, about, tell how many parts the keys are dealt over. A key's upper half is its part, by
+    range; its lower half is what is compared there. A task packs the entries of a part into
+    one value for each ``FLUSH`` items, so what is shuffled and sorted is a few rows of bytes."""
+    tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(min(MAX_PARTS, max(tasks, n_items * blocks // PART_ENTRIES + 1)))
+    flush_at = max(FLUSH, parts // 4)
+
+    def deal(batches):
+        import pyarrow as pa
+
+        def pack():
+            entries, at, links = _flush(held, parts)
+            held.clear()
+            full = np.flatnonzero(np.diff(at))
+            ends = pa.py_buffer((np.append(at[full], len(entries)) * _ENTRY.itemsize).astype(np.int32))
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(full), [None, ends, pa.py_buffer(entries)])
+            stars = [links.tobytes() if k == 0 and len(links) else None for k in range(len(full))]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), blobs, pa.array(stars, pa.binary())], names=["part", "entries", "stars"])
+
+        held, n = [], 0
+        for batch in batches:
+            for found in items_of(batch):
+                for one in found:
+                    held.append(one)
+                n += max((len(x[0]) for x in found), default=0)
+                if n >= flush_at:
+                    yield from pack()
+                    n = 0
+        if held:
+            yield from pack()
+
+    def link(batches):
+        import pyarrow as pa
+
+        def run(t):
+            part = t.column(0).to_numpy()
+            begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for s, e in zip(begin, np.append(begin[1:], len(part)), strict=True):
+                x = np.frombuffer(b"".join(t.column(1)[int(i)].as_py() for i in range(s, e)), _ENTRY)
+                x = x[np.lexsort((x["id"], x["key"]))]
+                x = x[np.append(True, (x["key"][1:] != x["key"][:-1]) | (x["id"][1:] != x["id"][:-1]))]
+                first = np.flatnonzero(np.append(True, x["key"][1:] != x["key"][:-1]))
+                size = np.diff(np.append(first, len(x)))
+                found = [np.frombuffer(y.as_py(), np.int64).reshape(-1, 2) for y in t.column(2)[int(s) : int(e)] if y.is_valid]
+                of = np.repeat(size, size)
+                big = of > BIG_PART
+                if big.any():
+                    leader = np.repeat(first, size)
+                    later = big & (leader != np.arange(len(x)))
+                    found.append(np.stack([x["id"][leader[later]], x["id"][later]], 1))
+                x = x[(of > 1) & ~big]
+                if len(x):
+                    found.append(_bucket_links(x["key"], x["id"], np.stack([x["sk"], x["size"].astype(np.uint64)], 1), sized_apart, limit))
+                if found:
+                    links = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+        yield from by_group(batches, ["part", "entries", "stars"], run)
+
+    dealt = docs.mapInArrow(deal, "part long, entries binary, stars binary")
+    linked = dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(link, "a long, b long")
+    return scratch.write(linked.distinct())
+
+
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """id and comp (the smallest id reachable) of every id in links (a, b).
 
@@ -385,12 +496,13 @@ def set_labels(texts: list[bytes], k: int, percent: int, start: np.ndarray | Non
     return _labels(n, lambda i: (size[i] > 0) & (100 * common[i, i + 1 :] >= percent * (size[i] + size[i + 1 :] - common[i, i + 1 :])), start)
 
 
-def settle(scratch: Scratch, groups: DataFrame, labels_of, most_items: int | None = None, most_chars: int | None = None) -> DataFrame:
+def settle(scratch: Scratch, groups: DataFrame, labels_of, most_items: int | None = None, most_chars: int | None = None, central=None) -> DataFrame:
     """id and label of the items of groups (comp long, id long, item binary).
 
     label is the smallest id that exact links reach. labels_of(list of items, labels known
     or None) gives the smallest reachable index for each. One item may come several times.
-    most_items and most_chars: beyond these a group is compared in blocks."""
+    most_items and most_chars: beyond these a group is compared in blocks. central(list of
+    items) gives the index of the one that is most like all others, and how far it is from them."""
     most_items, most_chars = most_items or MAX_ITEMS, most_chars or MAX_CHARS
     groups = scratch.write(groups)
     size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("item")).alias("chars"))
@@ -428,22 +540,46 @@ def settle(scratch: Scratch, groups: DataFrame, labels_of, most_items: int | Non
     if large.isEmpty():
         return scratch.write(inside(groups.select(F.col("comp").alias("key"), "id", "item", F.col("id").alias("part"))))
     done = inside(groups.join(large, "comp", "left_anti").select(F.col("comp").alias("key"), "id", "item", F.col("id").alias("part")))
-    links = _large_links(scratch, groups.join(large, "comp"), inside, most_items, most_chars)
+    links = _large_links(scratch, groups.join(large, "comp"), inside, most_items, most_chars, central)
     if links.isEmpty():
         return scratch.write(done)
     return scratch.write(done.unionByName(components(scratch, links).select("id", F.col("comp").alias("label"))))
 
 
-def _large_links(scratch: Scratch, big: DataFrame, inside, most_items: int, most_chars: int) -> DataFrame:
+def _central(batches, central):
+    """comp, id, item and far of the most central item of each group (key) of a stream."""
+    import pyarrow as pa
+
+    def run(t):
+        key = t.column(0).to_numpy()
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        at, far = [], []
+        for s, e in zip(begin, np.append(begin[1:], len(key)), strict=True):
+            i, d = central([t.column(2)[int(j)].as_py() for j in range(s, e)])
+            at.append(int(s) + i)
+            far.append(float(d))
+        rows = t.take(pa.array(at, pa.int64())).combine_chunks()
+        yield pa.RecordBatch.from_arrays([rows.column(3).combine_chunks(), rows.column(1).combine_chunks(), rows.column(2).combine_chunks(), pa.array(far)], names=["comp", "id", "item", "far"])
+
+    yield from by_group(batches, ["key", "id", "item", "comp"], run)
+
+
+def _large_links(scratch: Scratch, big: DataFrame, inside, most_items: int, most_chars: int, central=None) -> DataFrame:
     """Links (a, b) that join what exact links join in large groups (comp, id, item, _blocks).
 
     First the items are dealt over half blocks, and each half block is compared together
-    with ``PIVOTS`` items of its group: that costs a share of the group's size, and joins
+    with ``PIVOTS`` items of its group, the most central ones if ``central`` finds them: that costs a share of the group's size, and joins
     most of what near copies of one text there are. Then only items outside the group's
     largest part are compared with all that are in other parts, in pairs of half blocks."""
     half = lambda x, n: F.pmod(F.xxhash64(x), n).cast("int")
+    tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     big = big.withColumn("_m", (2 * F.col("_blocks")).cast("int"))
-    pivots = big.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item"), F.xxhash64("id", F.lit(1))).alias("_p"))
+    if central is None:
+        pivots = big.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item"), F.xxhash64("id", F.lit(1))).alias("_p"))
+    else:  # of the most central items of the half blocks, those that are nearest to their others
+        keyed = big.select(F.xxhash64("comp", half("id", F.col("_m"))).alias("key"), "id", "item", "comp").repartition(tasks, "key").sortWithinPartitions("key", "id")
+        middle = keyed.mapInArrow(lambda b: _central(b, central), "comp long, id long, item binary, far double").join(big.select("comp", "_m").distinct(), "comp")
+        pivots = middle.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item"), F.struct("far", "id")).alias("_p"))
     pivots = pivots.select("comp", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_at"), "_p.*")
     dealt = big.select("comp", half("id", F.col("_m")).alias("_at"), "id", "item").unionByName(pivots)
     as_links = lambda keyed: inside(keyed).filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).distinct()

@@ -2,8 +2,8 @@
 
 A paragraph is a line; its set is its 5-word shingles after lower-casing A-Z, where each
 character of a script without blanks is a word. With fewer than ``MIN_WORDS`` words only
-equal paragraphs can reach a likeness of 0.8 (3 shingles of 4 are too few). A sketch holds ``BANDS * ROWS`` MinHash values, 16 bits each, and a band
-of it is a bucket key; the number of bands is the fewest that show a pair at a likeness of
+equal paragraphs can reach a likeness of 0.8 (3 shingles of 4 are too few). Of ``BANDS * ROWS``
+MinHash values each band is a bucket key, and a bit of each is the sketch; the number of bands is the fewest that show a pair at a likeness of
 0.8 with probability ``RECALL``. Of the paragraphs that collide, those whose sketches
 agree too little (more than 5 standard deviations under 0.8) are dropped; the others are
 compared by the exact Jaccard index of whole sets, and of each component one occurrence
@@ -31,8 +31,8 @@ from .segments import Method, removals, row_id
 SHINGLE, PERCENT, ROWS, RECALL, MIN_WORDS = 5, 80, 4, 0.998, 8
 BANDS = near.banding(PERCENT / 100, ROWS, RECALL)
 SAMPLES = BANDS * ROWS
-_likeness = PERCENT / 100
-MAX_APART = int(np.ceil(SAMPLES * (1 - _likeness) + 5 * (SAMPLES * _likeness * (1 - _likeness)) ** 0.5))
+_flips = (1 - PERCENT / 100) / 2  # of the bits of two paragraphs at the limit
+MAX_APART = int(np.ceil(SAMPLES * _flips + 5 * (SAMPLES * _flips * (1 - _flips)) ** 0.5))
 
 
 #: Thai, Lao, Burmese, Khmer, kana, Han; marks stay with their letter.
@@ -49,16 +49,19 @@ def fuzzy(items: near.Items) -> np.ndarray:
     return items.n_words >= MIN_WORDS
 
 
-def sketch(items: near.Items) -> np.ndarray:
+def blocks(items: near.Items) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Items, keys of their bands, and one bit of each sample."""
     hashes, first = items.shingles(SHINGLE)
-    return np.ascontiguousarray((near.minima(hashes, first, SAMPLES) >> np.uint64(24)).astype(np.uint16)).view(np.uint8)
+    low = near.minima(hashes, first, SAMPLES)
+    bits = (near.mix(low) >> np.uint64(63)) << np.arange(SAMPLES, dtype=np.uint64)
+    return [(np.arange(len(low)), near.band_keys(low, BANDS, ROWS).view(np.uint64), near.sized(np.bitwise_or.reduce(bits, axis=1), items.n_words))]
 
 
 def labels(items: list[bytes], known: np.ndarray | None = None) -> np.ndarray:
     return near.set_labels(items, SHINGLE, PERCENT, known)
 
 
-METHOD = Method("paragraphs", normalise, sketch, [(2 * ROWS * b, 2 * ROWS) for b in range(BANDS)], near.samples_apart, MAX_APART, labels, 1, fuzzy, False)
+METHOD = Method("paragraphs", normalise, blocks, BANDS, MAX_APART, labels, 1, fuzzy, False)
 
 
 def shorten(text: str, gone: list[int], ranges: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:

@@ -3,7 +3,7 @@
 A document's segments are its ``\\n``-separated lines. ``Method`` says how a segment is
 normalised and sketched and how two are compared. Of each group of linked segments the
 occurrence in the smallest (doc_id, place) stays and the others go, whether in other
-documents or in the same one. A segment below the method's word count is never removed.
+documents or in the same one. A blank segment is never removed.
 
 Defined results: a null text stays null, has no segments; rows repeated in full are one
 document, and each copy gets the same result; of rows with one doc_id and several texts
@@ -28,16 +28,16 @@ from .common import Scratch, fresh
 class Method:
     label: str
     normalise: Callable[[str], bytes]  # of a whole text; keeps its line ends
-    sketch: Callable[[near.Items], np.ndarray]  # (items, bytes)
-    blocks: list[tuple[int, int]]  # first byte and length of each bucket key in the sketch
-    apart: Callable
-    limit: int
+    blocks: Callable[[near.Items], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]  # items, their bucket keys and sketches
+    n_blocks: int  # keys of an item, about
+    limit: int  # bits of sketches that may differ
     labels: Callable[[list[bytes], np.ndarray | None], np.ndarray]
     min_words: int  # segments with fewer stay
     fuzzy: Callable[[near.Items], np.ndarray]  # which items are compared by likeness
     masks: bool  # whether normalising makes different digits or marks equal
     most_items: int | None = None  # a group beyond these is compared in blocks
     most_chars: int | None = None
+    central: Callable[[list[bytes]], tuple[int, float]] | None = None
 
 
 def row_id():
@@ -45,42 +45,59 @@ def row_id():
     return F.xxhash64("doc_id", "text")
 
 
+SLICE = 128
+
+
+def _slices(texts, method: Method):
+    """Place of the first text, its texts' lines as items, and the lines, of slices of a column of texts."""
+    for at in range(0, len(texts), SLICE):
+        lines = [method.normalise(x.as_py() or "").split(b"\n") for x in texts[at : at + SLICE]]
+        flat = [y for x in lines for y in x]
+        yield at, np.fromiter(map(len, lines), np.int64, len(lines)), near.Items(flat), flat
+
+
 def occurrences(docs: DataFrame, method: Method) -> DataFrame:
-    """doc_id, rid, seg, digest and sk of the segments that are not blank; sk is null for those compared for equality only."""
+    """doc_id, rid, seg, and two hashes (id and id2) of each segment that is not blank."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             ids, rids, texts = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
-            for at in range(0, batch.num_rows, 128):
-                lines = [method.normalise(x.as_py() or "").split(b"\n") for x in texts[at : at + 128]]
-                flat = [y for x in lines for y in x]
-                items = near.Items(flat)
-                many = np.fromiter(map(len, lines), np.int64, len(lines))
-                row = np.repeat(np.arange(len(lines)), many)
+            for at, many, items, flat in _slices(texts, method):
+                row = np.repeat(np.arange(len(many)), many)
                 seg = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                fuzzy = method.fuzzy(items)
-                digests = items.sequence_hashes()
-                if method.masks:
+                digests, words = items.sequence_hashes(), items.n_words
+                if method.masks:  # what is compared for equality only is told apart as it was
+                    fuzzy = method.fuzzy(items)
                     own = [i for i in np.flatnonzero(~fuzzy).tolist() if b"0" in flat[i] or not items.n_words[i]]
-                    raw = [y for x in texts[at : at + 128] for y in (x.as_py() or "").encode().split(b"\n")] if own else []
+                    raw = [y for x in texts[at : at + SLICE] for y in (x.as_py() or "").encode().split(b"\n")] if own else []
                     exact = near.Items([raw[i] for i in own])
                     digests[own] = exact.sequence_hashes()
                     words = items.n_words.copy()
                     words[own] = exact.n_words
-                else:
-                    words = items.n_words
                 good = np.flatnonzero(words >= method.min_words)
-                at_fuzzy = np.flatnonzero(fuzzy)
-                place = pa.array(np.where(fuzzy, np.cumsum(fuzzy) - 1, 0)[good], mask=~fuzzy[good])
+                d = digests[good].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[good] + at)), pa.array(rids[row[good] + at]), pa.array(seg[good], pa.int32()), near.binary(digests[good]), near.binary(method.sketch(items.only(at_fuzzy))).take(place)],
-                    names=["doc_id", "rid", "seg", "digest", "sk"],
+                    [ids.take(pa.array(row[good] + at)), pa.array(rids[row[good] + at]), pa.array(seg[good], pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])],
+                    names=["doc_id", "rid", "seg", "id", "id2"],
                 )
 
-    d = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), row_id().alias("rid"), F.col("text"))
-    return d.mapInArrow(run, "doc_id long, rid long, seg int, digest binary, sk binary")
+    return docs.mapInArrow(run, "doc_id long, rid long, seg int, id long, id2 long")
+
+
+def candidate_links(scratch: Scratch, docs: DataFrame, n_segments: int, method: Method) -> DataFrame:
+    """Links (a, b) between ids of segments that may be near each other."""
+
+    def items_of(batch):
+        for _, _, items, _ in _slices(batch.column(0), method):
+            fuzzy = np.flatnonzero(method.fuzzy(items))
+            if len(fuzzy):
+                own = items.only(fuzzy)
+                ids = own.sequence_hashes()[:, 0].view(np.int64)
+                yield [(ids[i], keys, sketch) for i, keys, sketch in method.blocks(own)]
+
+    return near.meet(scratch, docs.select("text"), items_of, n_segments, method.n_blocks, method.limit)
 
 
 def _wanted_items(docs: DataFrame, wanted: DataFrame, method: Method) -> DataFrame:
@@ -107,31 +124,34 @@ def _wanted_items(docs: DataFrame, wanted: DataFrame, method: Method) -> DataFra
 
 def removals(scratch: Scratch, docs: DataFrame, method: Method) -> DataFrame:
     """_rid and the places (seg, from 0) of its segments that go; documents that lose none are absent."""
-    seen = scratch.write(occurrences(docs, method))
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    seen = scratch.write(occurrences(texts, method))
+    links = candidate_links(scratch, texts, seen.count(), method)
     place = F.struct("doc_id", "rid", "seg")
-    classes = seen.groupBy("digest").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("sk").alias("sk"))
-    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()))
-    slim = scratch.write(seen.select("rid", "seg", "digest"))
-    scratch.drop(seen)
-    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sk", first + 1, length)) for b, (first, length) in enumerate(method.blocks)])
-    sketched = classes.filter(F.col("sk").isNotNull())
-    links = near.candidates(scratch, sketched.select(F.explode(keys).alias("key"), "id"), sketched.select("id", "sk"), method.apart, method.limit)
-    one = classes.select("id", "digest", "at", "n")
     if links.isEmpty():
-        one = one.withColumn("label", F.col("id"))
+        named = seen.withColumn("label", F.col("id"))
     else:
         groups = near.components(scratch, links)
         scratch.drop(links)
-        wanted = scratch.write(groups.join(classes.select("id", "at"), "id").select("comp", "id", "at.rid", "at.seg"))
-        labels = near.settle(scratch, _wanted_items(docs, wanted, method), method.labels, method.most_items, method.most_chars)
-        one = one.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    one = scratch.write(one)
-    scratch.drop(classes)
-    repeated = one.groupBy("label").agg(F.sum("n").alias("total"), F.min("at").alias("keep")).filter("total > 1")
-    keep = one.select("label", "digest").join(repeated, "label").select("digest", F.col("keep.rid").alias("keep_rid"), F.col("keep.seg").alias("keep_seg"))
-    gone = slim.join(keep, "digest").filter((F.col("rid") != F.col("keep_rid")) | (F.col("seg") != F.col("keep_seg")))
+        small = groups.count() <= near.BROADCAST_IDS
+        among = seen.join(F.broadcast(groups) if small else groups, "id")
+        wanted = scratch.write(among.groupBy("id", "comp").agg(F.min(place).alias("at")).select("comp", "id", "at.rid", "at.seg"))
+        labels = near.settle(scratch, _wanted_items(docs, wanted, method), method.labels, method.most_items, method.most_chars, method.central)
+        scratch.drop(groups, wanted)
+        linked = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("label"), "label").select("id", "label")
+        linked = scratch.write(linked)
+        small = linked.count() <= near.BROADCAST_IDS
+        named = seen.join(F.broadcast(linked) if small else linked, "id", "left")
+        # the second hash tells apart what is compared for equality only
+        named = named.withColumn("id2", F.when(F.col("label").isNull(), F.col("id2"))).withColumn("label", F.coalesce("label", "id"))
+    key = ["label", "id2"]
+    named = named.select("doc_id", "rid", "seg", *key)
+    repeated = named.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("keep")).filter("_n > 1")
+    repeated = scratch.write(repeated.select(F.col("label").alias("_l"), F.col("id2").alias("_i"), F.col("keep.rid").alias("keep_rid"), F.col("keep.seg").alias("keep_seg")))
+    gone = named.join(repeated.hint("merge"), (F.col("label") == F.col("_l")) & F.col("id2").eqNullSafe(F.col("_i")))
+    gone = gone.filter((F.col("rid") != F.col("keep_rid")) | (F.col("seg") != F.col("keep_seg")))
     out = scratch.write(gone.groupBy(F.col("rid").alias("_rid")).agg(F.sort_array(F.collect_set("seg")).alias("_gone")))
-    scratch.drop(slim, one)
+    scratch.drop(seen, repeated)
     return out
 
 

@@ -138,23 +138,92 @@ def test_segments(spark, method):
     assert remove(make(spark, []), method).count() == 0
 
 
-def test_lines_with_a_letter_changed_in_most_words_meet():
+def _meet(pairs):
+    """Which pairs of lines share a block and are near enough by their sketches."""
+    n = len(pairs)
+    out = np.zeros(n, bool)
+    for own, keys, sk in lines.blocks(near.Items([a for a, _ in pairs] + [b for _, b in pairs])):
+        place = np.full(2 * n, -1)
+        place[own] = np.arange(len(own))
+        both = np.flatnonzero((place[:n] >= 0) & (place[n:] >= 0))
+        x, y = place[:n][both], place[n:][both]
+        out[both] |= (keys[x] == keys[y]).any(1) & (near.sized_apart(sk[x], sk[y]) <= lines.MAX_APART)
+    return out
+
+
+@pytest.mark.parametrize(("words", "typos", "least"), [((5, 8), 1, 0.98), ((5, 8), 2, 0.9), ((9, 15), 2, 0.95), ((9, 15), 3, 0.9), ((16, 60), 3, 0.97), ((16, 60), 0.03, 0.95), ((16, 60), 0.06, 0.8)])
+def test_recall_of_typo_copies(words, typos, least):
     r = random.Random(12)
-    found = 0
-    for _ in range(200):
-        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(9, 14))) for _ in range(12)]
-        noisy = [w if r.random() < 0.3 else w[:k] + "0" + w[k + 1 :] for w in words for k in [r.randrange(len(w))]]
-        a, b = " ".join(words).encode(), " ".join(noisy).encode()
-        assert lines.similar(a, b)
-        x, y = lines.sketch(near.Items([a, b]))
-        found += bool(lines.apart(x, y) <= lines.MAX_APART and any((x[s : s + n] == y[s : s + n]).all() for s, n in lines.METHOD.blocks))
-    assert found > 120
-    items = near.Items([b"ab cdefg hi", b"x", b"", b"other words of it"])
-    h, first = items.grams(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    pairs = []
+    for _ in range(400):
+        a = " ".join(r.choice(vocabulary) for _ in range(r.randint(*words)))
+        places = [i for i, c in enumerate(a) if c != " "]
+        b = list(a)
+        for i in r.sample(places, typos if typos >= 1 else int(typos * len(places))):
+            b[i] = r.choice(letters)
+        if lines.similar(a.encode(), "".join(b).encode()):
+            pairs.append((a.encode(), "".join(b).encode()))
+    assert len(pairs) > 300 and _meet(pairs).mean() >= least
+
+
+def test_lines_against_all_pairs(spark):
+    """The whole operator on noisy lines, held against the edit similarity of all pairs."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    found = []
+    for _ in range(120):
+        base = [word() for _ in range(r.choice([5, 7, 12, 30, 70]))]
+        for _ in range(r.randint(1, 3)):
+            w = list(base)
+            for _ in range(max(1, len(w) // 12)):
+                w[r.randrange(len(w))] = word()
+            found.append(" ".join(w))
+    r.shuffle(found)
+    norm = [lines.normalise(x) for x in found]
+    want = groups(range(len(found)), lambda a, b: lines.similar(norm[a], norm[b]))
+    docs = [(i, "\n".join(found[3 * i : 3 * i + 3])) for i in range(-(-len(found) // 3))]
+    from tagloom.llm.segments import remove
+
+    got = {x["doc_id"]: x["removed"] for x in remove(make(spark, docs), lines.METHOD).collect()}
+    gone = {3 * i + k for i, ks in got.items() for k in ks}
+    due = {i for i in want if want[i] != i}
+    assert gone <= due and len(gone) >= 0.95 * len(due)
+
+
+def test_signed_votes():
+    """Each bit of a block is the sign of a weighted sum of votes."""
+    items = near.Items([b"alpha bravo charlie delta echo", b"alpha bravo charlie delta golf", b"x"])
+    got = lines.word_votes(items)
+    drawn = near.mix(near.minima(items.words, items.first, 4 * lines.WORD_BLOCKS))
+    bits = lambda x: (x[..., None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(int)
+    for b in range(lines.WORD_BLOCKS):
+        votes = (2 * bits(drawn[:, 4 * b : 4 * b + 4]) - 1) * np.array([2, 1, 1, 1])[None, :, None]
+        assert (bits(got[:, b]) == (votes.sum(1) > 0)).all()
+    h, first = (items := near.Items([b"ab cdefg hi", b"x", b"", b"other words of it"])).grams(5)
     one, at = items.only(np.array([0, 3])).grams(5)
     assert first.tolist() == [0, 5, 6, 6, 16] and at.tolist() == [0, 5, 15] and (one == np.append(h[:5], h[6:])).all()
 
 
+def test_hot_buckets_are_linked_by_stars(spark, monkeypatch):
+    for name, value in (("FLUSH", 64), ("HOT", 4), ("BIG_PART", 6), ("PART_ENTRIES", 100)):
+        monkeypatch.setattr(near, name, value)
+    r = random.Random(7)
+    base = [f"word{i}" for i in range(60)]
+    texts = []
+    for i in range(300):
+        c = list(base)
+        c[r.randrange(60)] = f"other{i}x"
+        texts.append((i, " ".join(c)))
+    from tagloom.llm.segments import remove
+
+    got = {x["doc_id"]: x["removed"] for x in remove(make(spark, texts), lines.METHOD).collect()}
+    assert got == {i: [0] if i else [] for i in range(300)}
+    copies = [" ".join(f"new{i}{k}" if (k * 7 + i * 11) % 60 < 9 else w for k, w in enumerate(base)).encode() for i in range(20)]
+    assert lines.central([*copies, " ".join(base).encode()])[0] == 20
+
+
 @pytest.mark.parametrize("method", [lines.METHOD, paragraphs.METHOD])
 def test_short_segments_and_scripts_without_blanks(spark, method):
     from tagloom.llm.segments import remove
