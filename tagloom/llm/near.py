@@ -266,6 +266,42 @@ def _bucket_links(key, ids, sketch, apart, limit):
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
+def _bucket_clusters(key, ids, sketch, apart, strong, limit):
+    """Strong links, and (group, id, id) links of what is further apart, of rows in order of key.
+
+    A group is one pair in a small bucket, else a part of a bucket that links of limit bits
+    connect; those that strong links connect as a whole are left out."""
+    n = len(key)
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:n])
+    size = np.diff(np.append(begin, n))
+    small = np.repeat(size <= SMALL_BUCKET, size)
+    sure, rest = [np.zeros((0, 2), np.int64)], [np.zeros((0, 3), np.int64)]
+    name = lambda k, i: mix(mix(k.astype(np.uint64) + _MULT) ^ i.view(np.uint64)).view(np.int64)
+    for d in range(1, min(SMALL_BUCKET, n)):
+        i = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
+        if not len(i):
+            break
+        for c in range(0, len(i), 200_000):
+            k = i[c : c + 200_000]
+            bits = apart(sketch[k], sketch[k + d])
+            pair = np.stack([ids[k], ids[k + d]], 1)
+            sure.append(pair[bits <= strong])
+            far = pair[(bits > strong) & (bits <= limit)]
+            rest.append(np.column_stack([name(mix(far[:, 0].copy().view(np.uint64)), far[:, 1].copy()), far]))
+    for s, m in zip(begin[size > SMALL_BUCKET], size[size > SMALL_BUCKET], strict=True):
+        own = sketch[s : s + m]
+        root = _labels(m, lambda i, own=own: apart(own[i], own[i + 1 :]) <= strong)
+        wide = _labels(m, lambda i, own=own: apart(own[i], own[i + 1 :]) <= limit, root)
+        j = np.flatnonzero(root != np.arange(m))
+        sure.append(np.stack([ids[s + root[j]], ids[s + j]], 1))
+        mixed = np.flatnonzero(np.isin(wide, wide[root != wide]))
+        mixed = mixed[wide[mixed] != mixed]
+        if len(mixed):
+            a, b = ids[s + wide[mixed]], ids[s + mixed]
+            rest.append(np.column_stack([name(np.full(len(a), key[s], np.uint64), a), a, b]))
+    return np.concatenate(sure), np.concatenate(rest)
+
+
 def by_group(batches, columns, run, most: int = 1 << 22):
     """Call run(table) on whole groups of a stream sorted by its first column; yields what it returns."""
     import pyarrow as pa
@@ -360,9 +396,10 @@ def _flush(held: list, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.searchsorted(part, np.arange(parts + 1)), links
 
 
-def meet(scratch: Scratch, docs: DataFrame, items_of, n_items: int, blocks: int, limit: int) -> DataFrame:
-    """Links (a, b) between items that share a bucket and are limit bits apart at most (``sized_apart``).
+def meet(scratch: Scratch, docs: DataFrame, items_of, n_items: int, blocks: int, strong: int, limit: int) -> DataFrame:
+    """Links (g, a, b) between items that share a bucket and are limit bits apart at most (``sized_apart``).
 
+    g is null for links of strong bits at most; others are in groups g (see ``_bucket_clusters``).
     items_of(batch) yields lists of (ids, keys, sketches) for slices of a batch of docs: longs (n), a
     key of 64 bits for each block (n, blocks), and what ``sized`` returns. n_items and
     blocks, about, tell how many parts the keys are dealt over. A key's upper half is its part, by
@@ -416,16 +453,20 @@ def meet(scratch: Scratch, docs: DataFrame, items_of, n_items: int, blocks: int,
                     later = big & (leader != np.arange(len(x)))
                     found.append(np.stack([x["id"][leader[later]], x["id"][later]], 1))
                 x = x[(of > 1) & ~big]
+                rest = np.zeros((0, 3), np.int64)
                 if len(x):
-                    found.append(_bucket_links(x["key"], x["id"], np.stack([x["sk"], x["size"].astype(np.uint64)], 1), sized_apart, limit))
-                if found:
-                    links = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+                    sure, rest = _bucket_clusters(x["key"], x["id"], np.stack([x["sk"], x["size"].astype(np.uint64)], 1), sized_apart, strong, limit)
+                    found.append(sure)
+                links = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(np.zeros(len(links), np.int64), rest[:, 0]), mask=np.arange(len(links) + len(rest)) < len(links)), pa.array(np.append(links[:, 0], rest[:, 1])), pa.array(np.append(links[:, 1], rest[:, 2]))],
+                    names=["g", "a", "b"],
+                )
 
         yield from by_group(batches, ["part", "entries", "stars"], run)
 
     dealt = docs.mapInArrow(deal, "part long, entries binary, stars binary")
-    linked = dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(link, "a long, b long")
+    linked = dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(link, "g long, a long, b long")
     return scratch.write(linked.distinct())
 
 
@@ -501,10 +542,12 @@ def settle(scratch: Scratch, groups: DataFrame, labels_of, most_items: int | Non
 
     label is the smallest id that exact links reach. labels_of(list of items, labels known
     or None) gives the smallest reachable index for each. One item may come several times.
+    groups may have part, equal for items that are known to be linked. An item of several
+    groups gets a label in each.
     most_items and most_chars: beyond these a group is compared in blocks. central(list of
     items) gives the index of the one that is most like all others, and how far it is from them."""
     most_items, most_chars = most_items or MAX_ITEMS, most_chars or MAX_CHARS
-    groups = scratch.write(groups)
+    groups = scratch.write(groups if "part" in groups.columns else groups.withColumn("part", F.col("id")))
     size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("item")).alias("chars"))
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(most_items)), F.ceil(F.col("chars") / F.lit(most_chars))).cast("int")
     large = scratch.write(size.withColumn("_blocks", blocks).filter("_blocks > 1").select("comp", "_blocks"))
@@ -538,8 +581,8 @@ def settle(scratch: Scratch, groups: DataFrame, labels_of, most_items: int | Non
         return keyed.repartition(tasks, "key").sortWithinPartitions("key", "id").mapInArrow(run_groups, "id long, label long")
 
     if large.isEmpty():
-        return scratch.write(inside(groups.select(F.col("comp").alias("key"), "id", "item", F.col("id").alias("part"))))
-    done = inside(groups.join(large, "comp", "left_anti").select(F.col("comp").alias("key"), "id", "item", F.col("id").alias("part")))
+        return scratch.write(inside(groups.select(F.col("comp").alias("key"), "id", "item", "part")))
+    done = inside(groups.join(large, "comp", "left_anti").select(F.col("comp").alias("key"), "id", "item", "part"))
     links = _large_links(scratch, groups.join(large, "comp"), inside, most_items, most_chars, central)
     if links.isEmpty():
         return scratch.write(done)
@@ -559,9 +602,9 @@ def _central(batches, central):
             at.append(int(s) + i)
             far.append(float(d))
         rows = t.take(pa.array(at, pa.int64())).combine_chunks()
-        yield pa.RecordBatch.from_arrays([rows.column(3).combine_chunks(), rows.column(1).combine_chunks(), rows.column(2).combine_chunks(), pa.array(far)], names=["comp", "id", "item", "far"])
+        yield pa.RecordBatch.from_arrays([rows.column(3).combine_chunks(), rows.column(1).combine_chunks(), rows.column(2).combine_chunks(), rows.column(4).combine_chunks(), pa.array(far)], names=["comp", "id", "item", "part", "far"])
 
-    yield from by_group(batches, ["key", "id", "item", "comp"], run)
+    yield from by_group(batches, ["key", "id", "item", "comp", "part"], run)
 
 
 def _large_links(scratch: Scratch, big: DataFrame, inside, most_items: int, most_chars: int, central=None) -> DataFrame:
@@ -575,27 +618,28 @@ def _large_links(scratch: Scratch, big: DataFrame, inside, most_items: int, most
     tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     big = big.withColumn("_m", (2 * F.col("_blocks")).cast("int"))
     if central is None:
-        pivots = big.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item"), F.xxhash64("id", F.lit(1))).alias("_p"))
+        pivots = big.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item", "part"), F.xxhash64("id", F.lit(1))).alias("_p"))
     else:  # of the most central items of the half blocks, those that are nearest to their others
-        keyed = big.select(F.xxhash64("comp", half("id", F.col("_m"))).alias("key"), "id", "item", "comp").repartition(tasks, "key").sortWithinPartitions("key", "id")
-        middle = keyed.mapInArrow(lambda b: _central(b, central), "comp long, id long, item binary, far double").join(big.select("comp", "_m").distinct(), "comp")
-        pivots = middle.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item"), F.struct("far", "id")).alias("_p"))
+        keyed = big.select(F.xxhash64("comp", half("id", F.col("_m"))).alias("key"), "id", "item", "comp", "part").repartition(tasks, "key").sortWithinPartitions("key", "id")
+        middle = keyed.mapInArrow(lambda b: _central(b, central), "comp long, id long, item binary, part long, far double").join(big.select("comp", "_m").distinct(), "comp")
+        pivots = middle.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item", "part"), F.struct("far", "id")).alias("_p"))
     pivots = pivots.select("comp", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_at"), "_p.*")
-    dealt = big.select("comp", half("id", F.col("_m")).alias("_at"), "id", "item").unionByName(pivots)
+    dealt = big.select("comp", half("id", F.col("_m")).alias("_at"), "id", "item", "part").unionByName(pivots)
     as_links = lambda keyed: inside(keyed).filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).distinct()
-    links = scratch.write(as_links(dealt.select(F.xxhash64("comp", "_at").alias("key"), "id", "item", F.col("id").alias("part"))))
-    part = big.select("comp", "id").distinct()
-    if not links.isEmpty():
-        part = part.join(components(scratch, links).select("id", F.col("comp").alias("_part")), "id", "left")
+    links = scratch.write(as_links(dealt.select(F.xxhash64("comp", "_at").alias("key"), "id", "item", "part")))
+    part = big.select("comp", "id", F.col("part").alias("_known")).distinct()
+    if not links.isEmpty():  # those of one part beforehand are linked as well
+        ties = links.unionByName(big.filter("id <> part").select(F.col("id").alias("a"), F.col("part").alias("b"))).distinct()
+        part = part.join(components(scratch, ties).select("id", F.col("comp").alias("_part")), "id", "left")
     else:
         part = part.withColumn("_part", F.lit(None).cast("long"))
-    part = scratch.write(part.withColumn("_part", F.coalesce("_part", "id")))
+    part = scratch.write(part.select("comp", "id", F.coalesce("_part", "_known", "id").alias("_part")))
     sizes = part.groupBy("comp", "_part").agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.groupBy("comp").agg(F.max_by("_part", F.struct("_n", "_part")).alias("_main"))
     rest = scratch.write(part.join(largest, "comp").filter(F.col("_part") != F.col("_main")).select("comp", "id"))
     if rest.isEmpty():
         return links
-    found = big.join(part.select("id", "_part"), "id").join(rest.select("id").withColumn("_out", F.lit(True)), "id", "left").withColumn("_out", F.col("_out").isNotNull())
+    found = big.join(part, ["comp", "id"]).join(rest.withColumn("_out", F.lit(True)), ["comp", "id"], "left").withColumn("_out", F.col("_out").isNotNull())
     size = found.filter("_out").groupBy("comp").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("item")).alias("_c"))
     # blocks of what is outside, each half a block at most
     size = size.select("comp", F.greatest(F.ceil(2 * F.col("_n") / F.lit(most_items)), F.ceil(2 * F.col("_c") / F.lit(most_chars))).cast("int").alias("_u"))

@@ -30,8 +30,10 @@ class Method:
     normalise: Callable[[str], bytes]  # of a whole text; keeps its line ends
     blocks: Callable[[near.Items], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]  # items, their bucket keys and sketches
     n_blocks: int  # keys of an item, about
-    limit: int  # bits of sketches that may differ
+    strong: int  # bits of sketches that may differ for a group to be compared as a whole
+    limit: int  # bits that may differ for a pair to be compared
     labels: Callable[[list[bytes], np.ndarray | None], np.ndarray]
+    pairs: Callable  # of pairs (a, b, x, y: the items), those that are linked
     min_words: int  # segments with fewer stay
     fuzzy: Callable[[near.Items], np.ndarray]  # which items are compared by likeness
     masks: bool  # whether normalising makes different digits or marks equal
@@ -97,29 +99,76 @@ def candidate_links(scratch: Scratch, docs: DataFrame, n_segments: int, method:
                 ids = own.sequence_hashes()[:, 0].view(np.int64)
                 yield [(ids[i], keys, sketch) for i, keys, sketch in method.blocks(own)]
 
-    return near.meet(scratch, docs.select("text"), items_of, n_segments, method.n_blocks, method.limit)
+    return near.meet(scratch, docs.select("text"), items_of, n_segments, method.n_blocks, method.strong, method.limit)
 
 
 def _wanted_items(docs: DataFrame, wanted: DataFrame, method: Method) -> DataFrame:
-    """comp, id and item of wanted (rid, seg, comp, id); many rids are fetched by shuffle, few by broadcast."""
+    """id and item of wanted (rid, seg, id); many rids are fetched by shuffle, few by broadcast."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            comp, ids, items = [], [], []
+            ids, items = [], []
             for text, picks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 lines = method.normalise(text.as_py()).split(b"\n")
                 for p in picks:
-                    comp.append(p["comp"])
                     ids.append(p["id"])
                     items.append(b" ".join(lines[p["seg"]].split()))
-            yield pa.RecordBatch.from_arrays([pa.array(comp, pa.int64()), pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["comp", "id", "item"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["id", "item"])
 
-    picks = wanted.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("seg", "comp", "id")).alias("picks"))
+    picks = wanted.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("seg", "id")).alias("picks"))
     small = wanted.count() <= near.BROADCAST_IDS
     found = docs.select(row_id().alias("_rid"), "text").join(F.broadcast(picks) if small else picks, "_rid")
-    return found.select("text", "picks").mapInArrow(run, "comp long, id long, item binary")
+    return found.select("text", "picks").mapInArrow(run, "id long, item binary")
+
+
+def linked_segments(scratch: Scratch, docs: DataFrame, seen: DataFrame, links: DataFrame, method: Method) -> DataFrame:
+    """id and label of the segments that exact links join; links: what ``near.meet`` found.
+
+    Strong links make groups that are compared as wholes. Of what is left, groups and pairs
+    whose members are not joined yet are compared: groups of several in the same way, single
+    pairs one by one."""
+    place = F.struct("doc_id", "rid", "seg")
+
+    def items(members: DataFrame) -> DataFrame:
+        """members (id, ..) with item."""
+        ids = members.select("id").distinct()
+        small = ids.count() <= near.BROADCAST_IDS
+        wanted = seen.join(F.broadcast(ids) if small else ids, "id").groupBy("id").agg(F.min(place).alias("at"))
+        wanted = scratch.write(wanted.select("id", "at.rid", "at.seg"))
+        return members.join(_wanted_items(docs, wanted, method), "id")
+
+    as_links = lambda labels: labels.filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    compare = lambda groups: near.settle(scratch, groups, method.labels, method.most_items, method.most_chars, method.central)
+    sure, joined = links.filter("g is null").select("a", "b"), None
+    if not sure.isEmpty():
+        joined = scratch.write(as_links(compare(items(near.components(scratch, sure)))))
+    rest = links.filter("g is not null")
+    if not rest.isEmpty():
+        ends = lambda d: d.select("g", F.col("a").alias("id")).unionByName(d.select("g", F.col("b").alias("id"))).distinct()
+        members = ends(rest)
+        if joined is not None and not joined.isEmpty():
+            members = members.join(near.components(scratch, joined).select("id", F.col("comp").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        else:
+            members = members.withColumn("part", F.col("id"))
+        members = scratch.write(members)
+        open_ = members.groupBy("g").agg(F.count(F.lit(1)).alias("_n"), F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").select("g", "_n")
+        members = scratch.write(members.join(open_, "g"))
+        with_items = scratch.write(items(members.select("id").distinct()))
+        more = []
+        several = members.filter("_n > 2")
+        if not several.isEmpty():
+            more.append(as_links(compare(several.join(with_items, "id").select(F.col("g").alias("comp"), "id", "item", "part"))))
+        two = members.filter("_n = 2").groupBy("g").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").distinct()
+        x, y = (with_items.select(F.col("id").alias(e), F.col("item").alias(n)) for e, n in (("a", "x"), ("b", "y")))
+        more.append(method.pairs(two.join(x, "a").join(y, "b")).select("a", "b"))
+        for m in more:
+            joined = m if joined is None else joined.unionByName(m)
+        joined = scratch.write(joined.distinct())
+    if joined is None or joined.isEmpty():
+        return None
+    return near.components(scratch, joined).select("id", F.col("comp").alias("label"))
 
 
 def removals(scratch: Scratch, docs: DataFrame, method: Method) -> DataFrame:
@@ -128,18 +177,11 @@ def removals(scratch: Scratch, docs: DataFrame, method: Method) -> DataFrame:
     seen = scratch.write(occurrences(texts, method))
     links = candidate_links(scratch, texts, seen.count(), method)
     place = F.struct("doc_id", "rid", "seg")
-    if links.isEmpty():
+    linked = linked_segments(scratch, docs, seen, links, method)
+    scratch.drop(links)
+    if linked is None:
         named = seen.withColumn("label", F.col("id"))
     else:
-        groups = near.components(scratch, links)
-        scratch.drop(links)
-        small = groups.count() <= near.BROADCAST_IDS
-        among = seen.join(F.broadcast(groups) if small else groups, "id")
-        wanted = scratch.write(among.groupBy("id", "comp").agg(F.min(place).alias("at")).select("comp", "id", "at.rid", "at.seg"))
-        labels = near.settle(scratch, _wanted_items(docs, wanted, method), method.labels, method.most_items, method.most_chars, method.central)
-        scratch.drop(groups, wanted)
-        linked = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("label"), "label").select("id", "label")
-        linked = scratch.write(linked)
         small = linked.count() <= near.BROADCAST_IDS
         named = seen.join(F.broadcast(linked) if small else linked, "id", "left")
         # the second hash tells apart what is compared for equality only
