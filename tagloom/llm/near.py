@@ -136,8 +136,10 @@ class Items:
             out._kept[self._kept] = kept
         return out
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all stretches of k bytes (7 at most) of an item's words without the blanks, and first[i]..first[i+1] by item."""
+    def grams(self, k: int, share: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the stretches of k bytes (7 at most) of an item's words without the blanks, and first[i]..first[i+1] by item.
+
+        Of the stretches one in 2**share is used, drawn by a hash of its own."""
         a = np.frombuffer(self._buffer, np.uint8)
         a = a[~_BLANK[a]]
         if self._kept is not None:
@@ -152,7 +154,11 @@ class Items:
         h = wide[: len(a)].copy()
         for j in range(1, k):
             h |= wide[j : j + len(a)] << np.uint64(8 * j)
-        return mix(h[at] + _MULT), first
+        h = h[at]
+        if share:
+            used = (h * _MULT) >> np.uint64(64 - share) == 0
+            h, first = h[used], np.append(0, np.cumsum(used))[first]
+        return mix(h + _MULT), first
 
     def sequence_hashes(self) -> np.ndarray:
         """Two 64-bit hashes of each item's word sequence."""
@@ -538,12 +544,13 @@ def set_labels(texts: list[bytes], k: int, percent: int, start: np.ndarray | Non
 
 
 def settle(scratch: Scratch, groups: DataFrame, labels_of, most_items: int | None = None, most_chars: int | None = None, central=None) -> DataFrame:
-    """id and label of the items of groups (comp long, id long, item binary).
+    """id and label of items of groups (comp long, id long, item binary) that are linked to others.
 
-    label is the smallest id that exact links reach. labels_of(list of items, labels known
+    label is another id that exact links reach, the smallest of a group where items have no part;
+    ids that keep their own are absent. labels_of(list of items, labels known
     or None) gives the smallest reachable index for each. One item may come several times.
-    groups may have part, equal for items that are known to be linked. An item of several
-    groups gets a label in each.
+    groups may have part, equal for items that are known to be linked; then one item for
+    each part that is joined to another one has a row. An item of several groups may have several.
     most_items and most_chars: beyond these a group is compared in blocks. central(list of
     items) gives the index of the one that is most like all others, and how far it is from them."""
     most_items, most_chars = most_items or MAX_ITEMS, most_chars or MAX_CHARS
@@ -568,8 +575,10 @@ def settle(scratch: Scratch, groups: DataFrame, labels_of, most_items: int | Non
                 part = parts[s:e][new]
                 known, first, inverse = np.unique(part, return_index=True, return_inverse=True)
                 root = labels_of([items[int(s + i)].as_py() for i in new], first[inverse] if len(known) < len(part) else None)
-                a.append(own)
-                b.append(own[root])
+                j = np.sort(first)  # a row for each part that is joined to another one
+                j = j[root[j] != j]
+                a.append(own[j])
+                b.append(own[root[j]])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["id", "label"])
 
