@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BIG_BUCKET, MAX_ITEMS, MAX_CHARS, SMALL_BUCKET, PIVOTS = 1024, 4096, 16_000_000, 6, 8
+BIG_BUCKET, MAX_ITEMS, MAX_CHARS, SMALL_BUCKET, PAIRS_BUCKET, PIVOTS = 1024, 4096, 16_000_000, 6, 1024, 8
 BROADCAST_IDS = 400_000
 FLUSH, HOT, BIG_PART, PART_ENTRIES, MAX_PARTS = 16_384, 256, 8192, 1 << 20, 1 << 20
 _ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("sk", "<u8"), ("size", "u1")])
@@ -145,20 +145,23 @@ class Items:
         if self._kept is not None:
             a = a[np.repeat(self._kept, self._all_sizes)]
         begin = np.append(0, np.cumsum(self.sizes))[self.first]
-        n = np.diff(begin)
-        many = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
-        first = np.append(0, np.cumsum(many))
-        at = np.repeat(begin[:-1] - first[:-1], many) + np.arange(first[-1])
-        wide = np.zeros(len(a) + k, np.uint64)
-        wide[: len(a)] = a
-        h = wide[: len(a)].copy()
-        for j in range(1, k):
-            h |= wide[j : j + len(a)] << np.uint64(8 * j)
-        h = h[at]
+        used = np.ones(len(a) + 1, bool)
+        for r in range(1, k):  # a stretch ends in its item; a shorter item is one
+            used[np.maximum(begin[1:] - r, np.minimum(begin[:-1] + 1, begin[1:]))] = False
+        used[begin[:-1]] = True
+        used[-1] = False
+        h = np.zeros(len(a) + k, np.uint64)
+        h[: len(a)] = a
+        have = 1
+        while have < k:  # stretches of 2, 4, .. bytes; where they overlap they agree
+            step = min(have, k - have)
+            h = h[:-step] | h[step:] << np.uint64(8 * step)
+            have += step
+        h = h[: len(a)]
         if share:
-            used = (h * _MULT) >> np.uint64(64 - share) == 0
-            h, first = h[used], np.append(0, np.cumsum(used))[first]
-        return mix(h + _MULT), first
+            used[:-1] &= (h * _MULT) >> np.uint64(64 - share) == 0
+        first = np.append(0, np.cumsum(used))[begin]
+        return mix(h[used[:-1]] + _MULT), first
 
     def sequence_hashes(self) -> np.ndarray:
         """Two 64-bit hashes of each item's word sequence."""
@@ -275,8 +278,8 @@ def _bucket_links(key, ids, sketch, apart, limit):
 def _bucket_clusters(key, ids, sketch, apart, strong, limit):
     """Strong links, and (group, id, id) links of what is further apart, of rows in order of key.
 
-    A group is one pair in a small bucket, else a part of a bucket that links of limit bits
-    connect; those that strong links connect as a whole are left out."""
+    A group is one pair in buckets of up to ``PAIRS_BUCKET``, else a part of a bucket that links of
+    limit bits connect; those that strong links connect as a whole are left out."""
     n = len(key)
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:n])
     size = np.diff(np.append(begin, n))
@@ -290,16 +293,23 @@ def _bucket_clusters(key, ids, sketch, apart, strong, limit):
         for c in range(0, len(i), 200_000):
             k = i[c : c + 200_000]
             bits = apart(sketch[k], sketch[k + d])
-            pair = np.stack([ids[k], ids[k + d]], 1)
+            pair = np.sort(np.stack([ids[k], ids[k + d]], 1), axis=1)
             sure.append(pair[bits <= strong])
             far = pair[(bits > strong) & (bits <= limit)]
             rest.append(np.column_stack([name(mix(far[:, 0].copy().view(np.uint64)), far[:, 1].copy()), far]))
     for s, m in zip(begin[size > SMALL_BUCKET], size[size > SMALL_BUCKET], strict=True):
         own = sketch[s : s + m]
         root = _labels(m, lambda i, own=own: apart(own[i], own[i + 1 :]) <= strong)
-        wide = _labels(m, lambda i, own=own: apart(own[i], own[i + 1 :]) <= limit, root)
         j = np.flatnonzero(root != np.arange(m))
         sure.append(np.stack([ids[s + root[j]], ids[s + j]], 1))
+        if m <= PAIRS_BUCKET:
+            i, j = np.triu_indices(m, 1)
+            bits = apart(own[i], own[j])
+            far = (bits <= limit) & (root[i] != root[j])
+            pair = np.sort(np.stack([ids[s + i[far]], ids[s + j[far]]], 1), axis=1)
+            rest.append(np.column_stack([name(mix(pair[:, 0].copy().view(np.uint64)), pair[:, 1].copy()), pair]))
+            continue
+        wide = _labels(m, lambda i, own=own: apart(own[i], own[i + 1 :]) <= limit, root)
         mixed = np.flatnonzero(np.isin(wide, wide[root != wide]))
         mixed = mixed[wide[mixed] != mixed]
         if len(mixed):
@@ -379,15 +389,18 @@ def sized_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _flush(held: list, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries in order of (part, key), where each part begins, and links of hot buckets, of held (ids, keys, sketches)."""
-    key = np.concatenate([k.ravel() for _, k, _ in held])
-    many = np.concatenate([np.full(len(k), k.shape[1]) for _, k, _ in held])
-    ids = np.repeat(np.concatenate([i for i, _, _ in held]), many)
-    order = np.lexsort((ids, key)) if len(key) else np.zeros(0, np.int64)
-    key, ids = key[order], ids[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))[: len(key)]  # repeated items
-    key, ids = key[new], ids[new]
-    sk = np.repeat(np.concatenate([x for _, _, x in held]), many, axis=0)[order[new]]
+    """Entries in order of (part, key), where each part begins, and links of hot buckets, of held (kind, ids, keys, sketches)."""
+    once = []  # each item once in each kind of blocks
+    for kind in sorted({x[0] for x in held}):
+        i, k, x = (np.concatenate(y) for y in zip(*[h[1:] for h in held if h[0] == kind], strict=True))
+        new = np.unique(i, return_index=True)[1]
+        once.append((i[new], k[new], x[new]))
+    key = np.concatenate([k.ravel() for _, k, _ in once])
+    many = np.concatenate([np.full(len(k), k.shape[1]) for _, k, _ in once])
+    order = np.argsort(key, kind="stable")
+    owner = np.repeat(np.arange(len(many)), many)[order]
+    key, ids = key[order], np.concatenate([i for i, _, _ in once])[owner]
+    sk = np.concatenate([x for _, _, x in once])[owner]
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     size = np.diff(np.append(begin, len(key)))
     hot, links = np.repeat(size > HOT, size), np.zeros((0, 2), np.int64)
@@ -430,8 +443,8 @@ def meet(scratch: Scratch, docs: DataFrame, items_of, n_items: int, blocks: int,
         held, n = [], 0
         for batch in batches:
             for found in items_of(batch):
-                for one in found:
-                    held.append(one)
+                for kind, one in enumerate(found):
+                    held.append((kind, *one))
                 n += max((len(x[0]) for x in found), default=0)
                 if n >= flush_at:
                     yield from pack()
@@ -447,7 +460,7 @@ def meet(scratch: Scratch, docs: DataFrame, items_of, n_items: int, blocks: int,
             begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             for s, e in zip(begin, np.append(begin[1:], len(part)), strict=True):
                 x = np.frombuffer(b"".join(t.column(1)[int(i)].as_py() for i in range(s, e)), _ENTRY)
-                x = x[np.lexsort((x["id"], x["key"]))]
+                x = x[np.argsort(x["key"].astype(np.uint64) << np.uint64(32) | x["id"].view(np.uint64) & np.uint64(0xFFFFFFFF), kind="stable")]
                 x = x[np.append(True, (x["key"][1:] != x["key"][:-1]) | (x["id"][1:] != x["id"][:-1]))]
                 first = np.flatnonzero(np.append(True, x["key"][1:] != x["key"][:-1]))
                 size = np.diff(np.append(first, len(x)))

@@ -61,7 +61,7 @@ def labels(items: list[bytes], known: np.ndarray | None = None) -> np.ndarray:
     return near.set_labels(items, SHINGLE, PERCENT, known)
 
 
-METHOD = Method("paragraphs", normalise, blocks, BANDS, MAX_APART, MAX_APART, labels, lambda pairs: pairs, 1, fuzzy, False)
+METHOD = Method("paragraphs", normalise, blocks, BANDS, MAX_APART, MAX_APART, labels, labels, lambda pairs: pairs, 1, fuzzy, False)
 
 
 def shorten(text: str, gone: list[int], ranges: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
