@@ -31,6 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK["dir"]
 
 
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on what is sent to a Python worker at a time, so texts of any length fit in little memory."""
+    name = "spark.sql.execution.arrow.max{}PerBatch"
+    if int(spark.conf.get(name.format("Records"))) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(name.format("Records"), BATCH_ROWS)
+    size = spark.conf.get(name.format("Bytes")).rstrip("b")
+    if size.isdigit() and int(size) > BATCH_BYTES:
+        spark.conf.set(name.format("Bytes"), BATCH_BYTES)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -40,6 +53,7 @@ class Scratch:
     cleaned = 0.0
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame) -> DataFrame:

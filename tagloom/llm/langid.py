@@ -24,18 +24,16 @@ gives no rows. Language, source and id are no inputs of a prediction.
 """
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, fresh, table
 
 TRAIN_LINES, TRAIN_WORDS, EPOCHS, BATCH, RATE, L2 = 1500, 60, 4, 32, 0.2, 1e-6
-SLOTS, SEQUENCE, CACHE_WORDS, LEXICON, FOLD_SEED = 1 << 17, 64, 400_000, 300, 17
+SLOTS, SEQUENCE, CACHE_WORDS, LEXICON, FOLD_SEED = 1 << 17, 64, 150_000, 300, 17
 UNKNOWN = "und"
 _letters = regex.compile(r"\p{L}+").findall
 
@@ -228,21 +226,25 @@ def fit(docs: DataFrame, train_lines: int = TRAIN_LINES) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and n_switches."""
+    """docs with lang_pred, score and n_switches; columns of these names are replaced."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages numbers, whatever the input
+    names = ["lang_pred", "score", "n_switches"]
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            values = [x if isinstance(x, str) else None for x in texts]
-            rows = [r for at in range(0, len(values), 64) for r in shared.value.predict(values[at : at + 64])]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "n_switches"])
+    def run(texts):
+        import pyarrow as pa
 
-    said = F.pandas_udf(run, "lang_pred string, score double, n_switches int")
-    return docs.withColumn("_said", said(F.col(text_col).cast("string"))).select(*docs.columns, "_said.*")
+        rows = [r for at in range(0, len(texts), 64) for r in shared.value.predict(texts[at : at + 64].to_pylist())]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32()))]
+        return pa.StructArray.from_arrays(columns, names)
+
+    (said,) = fresh(docs.columns, "_said")
+    labelled = docs.withColumn(said, F.arrow_udf(run, "lang_pred string, score double, n_switches int")(F.col(text_col).cast("string")))
+    return labelled.select(*[c for c in docs.columns if c.lower() not in names], *[F.col(said)[n].alias(n) for n in names])
 
 
 def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.select("doc_id", "text", "lang"))
     out = predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score", "n_switches")
+    return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_switches")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BIG_BUCKET, MAX_ITEMS, MAX_CHARS, SMALL_BUCKET, PAIRS_BUCKET, PIVOTS = 1024, 4096, 16_000_000, 6, 1024, 8
+BIG_BUCKET, MAX_ITEMS, MAX_CHARS, SMALL_BUCKET, PAIRS_BUCKET, PIVOTS = 1024, 2048, 8_000_000, 6, 1024, 8
 BROADCAST_IDS = 400_000
 FLUSH, HOT, BIG_PART, PART_ENTRIES, MAX_PARTS = 16_384, 256, 8192, 1 << 20, 1 << 20
 _ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("sk", "<u8"), ("size", "u1")])

@@ -7,7 +7,8 @@ or a title, before a capitalised word). Each is replaced by one of its own kind:
 * Characters are permuted by a keyed Feistel network over the positions that vary: a digit
   stays a digit, a hexadecimal digit one, a vowel of a name a vowel, a letter of a script
   one of that script; case and punctuation stay. Octets of addresses keep their number of
-  digits, and card numbers keep a valid check digit by walking the permutation's cycle.
+  digits; card and account numbers keep a valid check digit, or an invalid one, by walking
+  the permutation's cycle. Ends of Russian surnames that tell the gender stay.
 * A first name gets another one of the same gender and script by a keyed permutation of
   the lexicon without fixed points. Titles and top-level domains stay.
 
@@ -19,24 +20,23 @@ original where any of its characters is permuted.
 ``op5_pii`` checks both over the entities of all documents, as keyed digests, and fails if
 two originals have one surrogate or one has two. ``pseudonymise`` alone is one pass without
 shuffle. Defined results: null text stays null with 0 entities; repeated rows
-are treated alike; an empty table gives no rows. Other columns are carried along.
+are treated alike; an empty table gives no rows; time is in proportion to a text's length.
+Other columns are carried along, but n_entities and kinds are replaced.
 """
 
 import hmac
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, fresh, table
 
 KEY = b"tagloom surrogate key: replace in production"
-ROUNDS = 8
+ROUNDS, CHUNK = 8, 64
 
 NAMES = {
     ("latin", "f"): "Anna Maria Sophie Emma Julia Laura Sarah Katharina Claudia Isabelle Camille Élodie Chloé Amélie Lucía Carmen Elena Sofía Martina Ingrid Emily Jessica Jennifer Linda Susan Margaret Elizabeth Patricia Barbara Nancy Alice Charlotte Olivia Amelia Hannah Johanna Petra Monika Sabine Ursula Nathalie Brigitte Valérie Céline Pilar Mercedes Dolores Rosario Beatriz Mary".split(),
@@ -62,8 +62,8 @@ _WORD = r"[^\W\d_]"
 _PREFIXES = ("sk", "pk", "ghp", "gho", "xoxa", "xoxb", "xoxp", "AKIA", "ASIA", "AIza")
 #: Kind, pattern, and what a text holds one of if it matches; None: a digit.
 PATTERNS = [
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", ("-----BEGIN",)),
-    ("email", r"[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}", ("@",)),
+    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY-----", ("-----BEGIN",)),
+    ("email", r"(?<![\w.+%-])[\w.+%-]++@(?:[\w-]++\.)+[^\W\d_]{2,}+", ("@",)),
     ("secret", r"(?i:\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)(?P<value>[\w\-+/=.]{6,})", ("=", ":")),
     ("secret", r"\b(?:sk|pk|ghp|gho|xox[abp]|AKIA|ASIA|AIza)[-_]?[A-Za-z0-9_-]{16,}\b", _PREFIXES),
     ("secret", r"\b(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{24,}\b", None),
@@ -145,7 +145,11 @@ def _letters(key: bytes, kind: str, text: str, alphabets) -> str:
     at = [i for i, c in enumerate(low) if alphabets(c)]
     sets = [alphabets(low[i]) for i in at]
     values = [s.index(low[i]) for i, s in zip(at, sets, strict=True)]
-    values = permute(key, kind, values, [len(s) for s in sets])
+    sizes = [len(s) for s in sets]
+    if len(at) <= CHUNK:
+        values = permute(key, kind, values, sizes)
+    else:  # long ones in pieces, each by a map of its own
+        values = [v for i in range(0, len(at), CHUNK) for v in permute(key, f"{kind} {i}", values[i : i + CHUNK], sizes[i : i + CHUNK])]
     out = list(text)
     for i, v, s in zip(at, values, sets, strict=True):
         out[i] = s[v].upper() if text[i].isupper() else s[v]
@@ -168,6 +172,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mod97(iban: str) -> bool:
+    """Whether an account number's check digits are right."""
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
     """The replacement of a value; one of the same kind and format."""
     if kind == "email":
@@ -191,7 +201,11 @@ def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
         made = permute(key, kind, start, [radix[len(x)] for x in octets])
         return ".".join(str(v + low[len(x)]) for v, x in zip(made, octets, strict=True))
     if kind == "iban":
-        return value[:2] + _letters(key, kind, value[2:], _any)
+        made, valid = value, mod97(value)
+        while True:  # on along the cycle to one that is as valid
+            made = value[:2] + _letters(key, kind, made[2:], _any)
+            if mod97(made) == valid:
+                return made
     # numbers: the last ten digits of a phone, all of others; separators stay
     at = [i for i, c in enumerate(value) if c in _DIGITS]
     digits = "".join(value[i] for i in at)
@@ -213,8 +227,23 @@ def first_name(name: str, key: bytes = KEY) -> str:
     return NAMES[at][_order(key, f"first {at}", len(NAMES[at]))[NAMES[at].index(name)]]
 
 
+#: Ends of Russian surnames that tell the gender: women's, men's.
+_ENDINGS = {3: {"ова", "ева", "ёва", "ина", "ына", "кая"}, 2: {"ов", "ев", "ёв", "ин", "ын", "ий", "ой"}}
+
+
+def _ending(name: str) -> int:
+    """Letters at the end that stay."""
+    return next((n for n, ends in _ENDINGS.items() if len(name) > n + 1 and name[-n:].lower() in ends), 0)
+
+
 def last_name(name: str, key: bytes = KEY) -> str:
-    return _letters(key, "last", name, _sound)
+    n = _ending(name)
+    if n:
+        return _letters(key, f"last {name[-n:].lower()}", name[:-n], _sound) + name[-n:]
+    made = _letters(key, "last", name, _sound)
+    while _ending(made):  # walks on, as those are surrogates of names with such an end
+        made = _letters(key, "last", made, _sound)
+    return made
 
 
 def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
@@ -263,19 +292,21 @@ def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
-    """docs with text_col replaced, and n_entities and kinds (their sorted kinds, repeated)."""
+    """docs with text_col replaced, and n_entities and kinds (their sorted kinds, repeated); columns of these names are replaced."""
+    bounded_batches(docs.sparkSession)
+    names = ["text", "n_entities", "kinds"]
+
+    def run(texts):
+        import pyarrow as pa
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            rows = []
-            for t in texts:
-                made, found = replace(t if isinstance(t, str) else None, key)
-                rows.append((made, len(found), ",".join(sorted(x[2] for x in found))))
-            yield pd.DataFrame(rows, columns=["text", "n_entities", "kinds"])
+        done = [replace(t.as_py(), key) for t in texts]
+        columns = [pa.array([t for t, _ in done], pa.string()), pa.array([len(f) for _, f in done], pa.int32()), pa.array([",".join(sorted(x[2] for x in f)) for _, f in done], pa.string())]
+        return pa.StructArray.from_arrays(columns, names)
 
-    made = F.pandas_udf(run, "text string, n_entities int, kinds string")
-    rest = [F.col(c) for c in docs.columns if c != text_col]
-    return docs.withColumn("_made", made(F.col(text_col).cast("string"))).select(*rest, F.col("_made.text").alias(text_col), "_made.n_entities", "_made.kinds")
+    (made,) = fresh(docs.columns, "_made")
+    rest = [F.col(c) for c in docs.columns if c != text_col and c.lower() not in names[1:]]
+    out = docs.withColumn(made, F.arrow_udf(run, "text string, n_entities int, kinds string")(F.col(text_col).cast("string")))
+    return out.select(*rest, F.col(made)["text"].alias(text_col), F.col(made)["n_entities"].alias("n_entities"), F.col(made)["kinds"].alias("kinds"))
 
 
 def _digest(key: bytes, kind: str, value: str) -> bytes:
@@ -286,12 +317,17 @@ def _digest(key: bytes, kind: str, value: str) -> bytes:
 def entity_table(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """kind, and digests of original and surrogate (letter case apart), of every entity; those of a batch once."""
 
-    def run(parts):
-        for p in parts:
-            rows = {(kind, t[s:e].lower(), made.lower()) for t in p[text_col] if isinstance(t, str) for s, e, kind, made in entities(t, key)}
-            yield pd.DataFrame([(k, _digest(key, k, a), _digest(key, k, b)) for k, a, b in rows], columns=["kind", "original", "surrogate"])
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = {(kind, t[s:e].lower(), made.lower()) for x in batch.column(0) if (t := x.as_py()) for s, e, kind, made in entities(t, key)}
+            columns = [[k for k, _, _ in rows], [_digest(key, k, a) for k, a, _ in rows], [_digest(key, k, b) for k, _, b in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["kind", "original", "surrogate"])
 
-    return docs.select(F.col(text_col).cast("string").alias(text_col)).mapInPandas(run, "kind string, original binary, surrogate binary")
+    return docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, "kind string, original binary, surrogate binary")
 
 
 def collisions(found: DataFrame) -> DataFrame:

@@ -100,6 +100,36 @@ def test_entities_next_to_punctuation_and_without_digits():
     assert pii.replace("Johnson and Annas; no one: (Mariana)")[1] == []
 
 
+def test_long_texts_take_time_in_proportion_and_long_values_have_surrogates():
+    import time
+
+    for text in ("a" * 1_000_000 + " x@y.com", "-----BEGIN PRIVATE KEY-----\n" * 40_000, "a.b" * 300_000 + "@", "x@" + "a." * 400_000 + "1", "Ab " * 300_000, "AB" * 500_000):
+        began = time.perf_counter()
+        pii.entities(text)
+        assert time.perf_counter() - began < 2
+    long = "a" * 20_000 + "@b.com"
+    (found,) = pii.entities(long)
+    assert found[:3] == (0, len(long), "email") and len(found[3]) == len(long) and found[3] != long
+    found = [x for x in ("write jo.d@ex.co.uk.", "a@b.de>.", "-----BEGIN RSA PRIVATE KEY-----\nab/+=\n-----END RSA PRIVATE KEY-----") if pii.entities(x)]
+    assert len(found) == 3
+
+
+def test_account_numbers_stay_valid_and_surnames_keep_their_gender():
+    made = pii.surrogate("iban", "GB82 WEST 1234 5698 7654 32")
+    assert pii.mod97(made) and made[:2] == "GB" and made != "GB82 WEST 1234 5698 7654 32"
+    assert not pii.mod97(pii.surrogate("iban", "GB83 WEST 1234 5698 7654 32"))
+    assert pii.last_name("Иванова").endswith("ова") and pii.last_name("Смирнов").endswith("ов")
+    names = [a + b + c + e for a in "абв" for b in "аеи" for c in "бвг" for e in ("ова", "ов", "а", "ин", "ея", "ий")]
+    assert len({pii.last_name(x) for x in names}) == len(names) and all(pii.last_name(x) != x for x in names)
+
+
+def test_models_replace_columns_of_their_own_names(spark):
+    d = spark.createDataFrame([(1, "Anna went home", "x", 1, 2)], "doc_id long, text string, _said string, score int, n_entities int")
+    got = langid.predict(d, langid.train([("en", "the cat and dog"), ("de", "der hund und die katze")])).collect()
+    assert got[0]["_said"] == "x" and isinstance(got[0]["score"], float)
+    assert pii.pseudonymise(d).select("n_entities", "_said", "score").collect() == [(1, "x", 1)]
+
+
 def test_surrogates_are_one_to_one():
     for kind, values in (("ip", [f"10.0.{a}.{b}" for a in range(10) for b in range(100, 256)]), ("ssn", [f"123-45-{i:04d}" for i in range(3000)]), ("card", [f"400000000000{i:04d}" for i in range(2000)])):
         made = [pii.surrogate(kind, v) for v in values]
