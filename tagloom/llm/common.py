@@ -31,6 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK["dir"]
 
 
+def releasing(run):
+    """run (batches -> batches) for mapInArrow; at its end the worker's free memory goes back to the system.
+
+    Workers outlive tasks and stages, and else keep the most that any task of theirs held."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+#: What drops the caches that a worker has from other operators.
+ON_RELEASE: list = []
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    for drop in ON_RELEASE:
+        drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, table
+from .common import bounded_batches, fresh, release, table
 
 TRAIN_LINES, TRAIN_WORDS, EPOCHS, BATCH, RATE, L2 = 1500, 60, 4, 32, 0.2, 1e-6
 SLOTS, SEQUENCE, CACHE_WORDS, LEXICON, FOLD_SEED = 1 << 17, 64, 150_000, 300, 17
@@ -236,6 +236,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         rows = [r for at in range(0, len(texts), 64) for r in shared.value.predict(texts[at : at + 64].to_pylist())]
         columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32()))]
+        release()
         return pa.StructArray.from_arrays(columns, names)
 
     (said,) = fresh(docs.columns, "_said")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import Scratch, table
+from .common import Scratch, releasing, table
 
 SHINGLE, PERCENT, SAMPLES, ROWS, BANDS, BITS, MAX_ODD = 3, 85, 128, 4, 16, 512, 84
 
@@ -57,7 +57,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, samples: int = SAMPLES,
                     names=["doc_id", "n_shingles", "digest", "keys", "sk"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sk binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), "doc_id long, n_shingles long, digest binary, keys array<long>, sk binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, max_odd: int = MAX_ODD) -> DataFrame:
@@ -95,7 +95,7 @@ def with_digest(docs: DataFrame) -> DataFrame:
                 digest = near.Items(part).sequence_hashes()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array([x.tobytes() for x in digest], pa.binary()), pa.array(part, pa.binary())], names=["doc_id", "digest", "item"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, item binary")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, digest binary, item binary")
 
 
 def op9_minhash(spark, sf_dir):

@@ -21,11 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, releasing
 
 BIG_BUCKET, MAX_ITEMS, MAX_CHARS, SMALL_BUCKET, PAIRS_BUCKET, PIVOTS = 1024, 2048, 8_000_000, 6, 1024, 8
 BROADCAST_IDS = 400_000
-FLUSH, HOT, BIG_PART, PART_ENTRIES, MAX_PARTS = 16_384, 256, 8192, 1 << 20, 1 << 20
+FLUSH, HOT, BIG_PART, PART_ENTRIES, MAX_PARTS = 16_384, 256, 8192, 1 << 18, 1 << 20
 _ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("sk", "<u8"), ("size", "u1")])
 STEP, STEPS = 1.05, 6
 
@@ -370,7 +370,7 @@ def candidates(scratch: Scratch, keys: DataFrame, sketches: DataFrame, apart, li
         yield from by_group(batches, ["key", "id", "sk"], run)
 
     small = members.filter(F.col("n") <= BIG_BUCKET).select("key", "id").join(sketches, "id").select("key", "id", "sk")
-    linked = small.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "id").mapInArrow(link, "a long, b long")
+    linked = small.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "id").mapInArrow(releasing(link), "a long, b long")
     out = scratch.write(stars.unionByName(linked).distinct())
     scratch.drop(members)
     return out
@@ -484,8 +484,8 @@ def meet(scratch: Scratch, docs: DataFrame, items_of, n_items: int, blocks: int,
 
         yield from by_group(batches, ["part", "entries", "stars"], run)
 
-    dealt = docs.mapInArrow(deal, "part long, entries binary, stars binary")
-    linked = dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(link, "g long, a long, b long")
+    dealt = docs.mapInArrow(releasing(deal), "part long, entries binary, stars binary")
+    linked = dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(releasing(link), "g long, a long, b long")
     return scratch.write(linked.distinct())
 
 
@@ -600,7 +600,7 @@ def settle(scratch: Scratch, groups: DataFrame, labels_of, most_items: int | Non
     tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes may be much to compare: as many tasks as there may be
 
     def inside(keyed: DataFrame) -> DataFrame:
-        return keyed.repartition(tasks, "key").sortWithinPartitions("key", "id").mapInArrow(run_groups, "id long, label long")
+        return keyed.repartition(tasks, "key").sortWithinPartitions("key", "id").mapInArrow(releasing(run_groups), "id long, label long")
 
     if large.isEmpty():
         return scratch.write(inside(groups.select(F.col("comp").alias("key"), "id", "item", "part")))
@@ -643,7 +643,7 @@ def _large_links(scratch: Scratch, big: DataFrame, inside, most_items: int, most
         pivots = big.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item", "part"), F.xxhash64("id", F.lit(1))).alias("_p"))
     else:  # of the most central items of the half blocks, those that are nearest to their others
         keyed = big.select(F.xxhash64("comp", half("id", F.col("_m"))).alias("key"), "id", "item", "comp", "part").repartition(tasks, "key").sortWithinPartitions("key", "id")
-        middle = keyed.mapInArrow(lambda b: _central(b, central), "comp long, id long, item binary, part long, far double").join(big.select("comp", "_m").distinct(), "comp")
+        middle = keyed.mapInArrow(releasing(lambda b: _central(b, central)), "comp long, id long, item binary, part long, far double").join(big.select("comp", "_m").distinct(), "comp")
         pivots = middle.groupBy("comp", "_m", half("id", F.lit(PIVOTS)).alias("_k")).agg(F.min_by(F.struct("id", "item", "part"), F.struct("far", "id")).alias("_p"))
     pivots = pivots.select("comp", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_at"), "_p.*")
     dealt = big.select("comp", half("id", F.col("_m")).alias("_at"), "id", "item", "part").unionByName(pivots)

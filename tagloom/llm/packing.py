@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import ON_RELEASE, Scratch, table
 
 WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
 BARS = WINDOW // STEP
@@ -34,10 +34,30 @@ BARS = WINDOW // STEP
 SAFE = r"[\t-\r\x20-\x7e¡-įı-ɏ‐-‧‰-⁞]*"
 #: How the tokenizer splits lower-cased text into parts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_WORDS, BUCKET_ROWS = 600_000, 5_000
+CACHE_WORDS, BUCKET_ROWS = 300_000, 5_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bar int"
 
 
+class Recent:
+    """The last entries that were asked for, between limit and twice limit of them."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of keys that are not known; the others are in ``now`` from here on, until the next call."""
+        new = keys.difference(self.now)
+        if len(self.now) + len(new) > self.limit and self.now:
+            self.now, self.old, new = {}, self.now, keys
+        out = []
+        for k in new:
+            if (v := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.now[k] = v
+        return out
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, the end id last."""
 
@@ -52,8 +72,7 @@ class Encoder:
 
         self.tokenizer, self.safe = Tokenizer.from_file(path), re.compile(SAFE)
         self.parts = regex.compile(SPLIT).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS // 2)
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # the tokens that end a part of a word
@@ -66,15 +85,15 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Encode new words by their parts, all new parts in one call."""
         split = [self.parts(w) for w in words]
-        if new := list({p for x in split for p in x}.difference(self.pieces)):
+        if new := self.pieces.missing({p for x in split for p in x}):
             ids = self._encode(" ".join(new))
             cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
             if len(cuts) != len(new) + 1:
                 raise ValueError("a part of a word has more or less than one end token")
             data = ids.tobytes()
-            self.pieces.update(zip(new, (data[4 * s : 4 * e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), strict=True))
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, x))) for w, x in zip(words, split, strict=True))
+            self.pieces.now.update(zip(new, (data[4 * s : 4 * e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), strict=True))
+        get = self.pieces.now.__getitem__
+        self.words.now.update((w, b"".join(map(get, x))) for w, x in zip(words, split, strict=True))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -82,20 +101,17 @@ class Encoder:
         if "<|" in text or not self.safe.fullmatch(text):
             return self._encode(text).tobytes() + self.end
         words = text.lower().split()
-        if new := list(set(words).difference(self.words)):
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-                self.pieces.clear()
-                new = list(set(words))
+        if new := self.words.missing(set(words)):
             self._learn(new)
-        return b"".join(map(self.words.__getitem__, words)) + self.end
+        return b"".join(map(self.words.now.__getitem__, words)) + self.end
 
 
 _encoders: dict[str, Encoder] = {}
+ON_RELEASE.append(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder; its cache outlives a task."""
+    """The worker's encoder; its cache outlives a task, until the worker's next one of another operator."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near
-from .common import Scratch
+from .common import Scratch, releasing
 
 WINDOW, SELECT, MIN_PASSAGE = 26, 25, 50
 _EXTEND = SELECT
@@ -96,7 +96,7 @@ def windows(docs: DataFrame) -> DataFrame:
                 h = h.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(rids[item + at]), ids.take(pa.array(item + at)), pa.array(pos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["rid", "doc_id", "pos", "h1", "h2"])
 
-    return docs.filter(F.col("text").isNotNull()).select("rid", F.col("doc_id").cast("long"), "text").mapInArrow(run, "rid long, doc_id long, pos int, h1 long, h2 long")
+    return docs.filter(F.col("text").isNotNull()).select("rid", F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), "rid long, doc_id long, pos int, h1 long, h2 long")
 
 
 def _context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     spans = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     small = wanted.count() <= near.BROADCAST_IDS
     found = docs.select("rid", "text").join(F.broadcast(spans) if small else spans, "rid")
-    return found.select("rid", "text", "spans").mapInArrow(run, "first_rid long, first_start int, first_end int, left binary, right binary")
+    return found.select("rid", "text", "spans").mapInArrow(releasing(run), "first_rid long, first_start int, first_end int, left binary, right binary")
 
 
 def runs(scratch: Scratch, docs: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def rest(scratch: Scratch, docs: DataFrame) -> DataFrame:
                     item, h = np.concatenate(item), np.concatenate(hashes).view(np.int64)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(item)), batch.column(1).take(pa.array(item)), pa.array(np.concatenate(pos), pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["rid", "doc_id", "pos", "h1", "h2"])
 
-    seen = docs.select("rid", F.col("doc_id").cast("long"), "text", "runs").mapInArrow(run, "rid long, doc_id long, pos int, h1 long, h2 long")
+    seen = docs.select("rid", F.col("doc_id").cast("long"), "text", "runs").mapInArrow(releasing(run), "rid long, doc_id long, pos int, h1 long, h2 long")
     seen = scratch.write(seen.distinct())
     firsts = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("f.rid").alias("first_rid"), F.col("f.pos").alias("first_pos"))
     again = seen.join(firsts.hint("merge"), ["h1", "h2"]).filter((F.col("rid") != F.col("first_rid")) | (F.col("pos") != F.col("first_pos")))

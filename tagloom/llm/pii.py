@@ -33,7 +33,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, table
+from .common import bounded_batches, fresh, releasing, table
 
 KEY = b"tagloom surrogate key: replace in production"
 ROUNDS, CHUNK = 8, 64
@@ -327,7 +327,7 @@ def entity_table(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
             columns = [[k for k, _, _ in rows], [_digest(key, k, a) for k, a, _ in rows], [_digest(key, k, b) for k, _, b in rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["kind", "original", "surrogate"])
 
-    return docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, "kind string, original binary, surrogate binary")
+    return docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(releasing(run), "kind string, original binary, surrogate binary")
 
 
 def collisions(found: DataFrame) -> DataFrame:

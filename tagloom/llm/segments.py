@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import Scratch, fresh
+from .common import Scratch, fresh, releasing
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def occurrences(docs: DataFrame, method: Method) -> DataFrame:
                     names=["doc_id", "rid", "seg", "id", "id2"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, rid long, seg int, id long, id2 long")
+    return docs.mapInArrow(releasing(run), "doc_id long, rid long, seg int, id long, id2 long")
 
 
 def candidate_links(scratch: Scratch, docs: DataFrame, n_segments: int, method: Method) -> DataFrame:
@@ -121,7 +121,7 @@ def _wanted_items(docs: DataFrame, wanted: DataFrame, method: Method) -> DataFra
     picks = wanted.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("seg", "id")).alias("picks"))
     small = wanted.count() <= near.BROADCAST_IDS
     found = docs.select(row_id().alias("_rid"), "text").join(F.broadcast(picks) if small else picks, "_rid")
-    return found.select("text", "picks").mapInArrow(run, "id long, item binary")
+    return found.select("text", "picks").mapInArrow(releasing(run), "id long, item binary")
 
 
 def linked_segments(scratch: Scratch, docs: DataFrame, seen: DataFrame, links: DataFrame, method: Method) -> DataFrame:
