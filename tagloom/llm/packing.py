@@ -72,7 +72,7 @@ class Encoder:
 
         self.tokenizer, self.safe = Tokenizer.from_file(path), re.compile(SAFE)
         self.parts = regex.compile(SPLIT).findall
-        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS // 2)
+        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # the tokens that end a part of a word
