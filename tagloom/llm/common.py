@@ -47,12 +47,13 @@ def releasing(run):
 ON_RELEASE: list = []
 
 
-def release() -> None:
+def release(others: bool = True) -> None:
+    """Give free memory back, and, unless others is false, that of other operators' caches."""
     import ctypes
 
     import pyarrow as pa
 
-    for drop in ON_RELEASE:
+    for drop in ON_RELEASE if others else ():
         drop()
     gc.collect()
     pa.default_memory_pool().release_unused()

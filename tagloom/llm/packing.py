@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ON_RELEASE, Scratch, table
+from .common import ON_RELEASE, Scratch, release, table
 
 WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
 BARS = WINDOW // STEP
@@ -34,7 +34,7 @@ BARS = WINDOW // STEP
 SAFE = r"[\t-\r\x20-\x7e¡-įı-ɏ‐-‧‰-⁞]*"
 #: How the tokenizer splits lower-cased text into parts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_WORDS, BUCKET_ROWS = 300_000, 5_000
+CACHE_WORDS, BUCKET_ROWS = 200_000, 5_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bar int"
 
 
@@ -78,13 +78,15 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # the tokens that end a part of a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = END_ID.to_bytes(4, "little")
+        del vocabulary
+        release(False)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words by their parts, all new parts in one call."""
-        split = [self.parts(w) for w in words]
+        split = [x if len(x := self.parts(w)) != 1 or x[0] != w else (w,) for w in words]  # one string for both
         if new := self.pieces.missing({p for x in split for p in x}):
             ids = self._encode(" ".join(new))
             cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
