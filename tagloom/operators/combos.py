@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.config import Barcode
+from tagloom.config import Barcode, ConfigError
 from tagloom.functions.sequences import is_ambiguous
 
 
@@ -41,11 +41,14 @@ def threshold(df: DataFrame, limits: DataFrame) -> DataFrame:
 
     With barcodes the join is inner: a combination without a limit goes."""
     keys = [c for c in limits.columns if c != "threshold"]
+    if "threshold" not in limits.columns:
+        raise ConfigError("thresholds have no column 'threshold'")
+    if unknown := [c for c in keys if c not in df.columns]:
+        raise ConfigError(f"thresholds by {unknown}, which the table does not have")
     if not keys:
         first = limits.select(F.col("threshold").cast("long").alias("threshold")).limit(1)
         return df.crossJoin(F.broadcast(first)).filter("reads >= threshold").select(*df.columns)  # one row
-    shared = [c for c in keys if c in df.columns]
-    return df.join(limits.withColumn("threshold", F.col("threshold").cast("long")), shared).filter("reads >= threshold").select(*df.columns)
+    return df.join(limits.withColumn("threshold", F.col("threshold").cast("long")), keys).filter("reads >= threshold").select(*df.columns)
 
 
 def jaccard(df: DataFrame, barcode: str, lid: str = "lid") -> DataFrame:

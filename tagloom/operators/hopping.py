@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,39 +38,45 @@ def binomial_isf(alpha: float, n: int, p: float) -> int:
     return low
 
 
-def group_counts(df: DataFrame, hopping: Sequence[str]) -> DataFrame:
-    """Anchors with n, c, k and most."""
-    anchors = [b for b in barcodes(df) if b not in _listed(hopping)]
-    return df.groupBy(*anchors).agg(
+def _anchors(keys: Sequence[str], hopping: Sequence[str]) -> list[str]:
+    listed = [hopping] if isinstance(hopping, str) else list(hopping)
+    return [b for b in keys if b not in listed]
+
+
+def group_counts(df: DataFrame, hopping: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
+    """Anchors with n, c, k and most. keys: the barcodes, all columns but reads if not given."""
+    return df.groupBy(*_anchors(keys or barcodes(df), hopping)).agg(
         F.sum("reads").alias("n"), F.count(F.lit(1)).alias("c"), F.coalesce(F.sum((F.col("reads") > 1).cast("long")), F.lit(0)).alias("k"), F.max("reads").alias("most")
     )
 
 
-def _listed(hopping) -> list[str]:
-    return [hopping] if isinstance(hopping, str) else list(hopping)
-
+def thresholds(df: DataFrame, hopping: Sequence[str], alpha: float = 0.05, column: str = "hopping_threshold", keys: Sequence[str] | None = None) -> DataFrame:
+    """df with the threshold of each row; a null barcode is a value like any other.
 
-def thresholds(df: DataFrame, hopping: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """df with hopping_threshold. The quantile is computed once for each (n, k) and partition of them."""
-    anchors = [b for b in barcodes(df) if b not in _listed(hopping)]
+    The quantile is computed once for each (n, k) and partition of them."""
+    keys = list(keys or barcodes(df))
 
     def quantile(n: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series([binomial_isf(alpha, int(a), 1 / int(b)) for a, b in zip(n, k, strict=True)], dtype="int64")
 
     isf = F.pandas_udf(quantile, "long")
-    counts = group_counts(df, hopping)
+    counts = group_counts(df, hopping, keys)
     needed = counts.filter("c > 1 and k > 1").select("n", "k").distinct().withColumn("_q", isf("n", "k"))
     counts = counts.join(needed, ["n", "k"], "left")
-    joined = df.join(counts, anchors) if anchors else df.crossJoin(F.broadcast(counts))  # without anchors counts is one row
-    value = F.when(F.col("c") == 1, F.col("reads")).when(F.col("k") > 1, F.col("_q")).otherwise(F.col("most"))
-    return joined.withColumn("hopping_threshold", value.cast("long")).select(*df.columns, "hopping_threshold")
+    value = F.when(F.col("_c") == 1, F.col("reads")).when(F.col("_k") > 1, F.col("_q")).otherwise(F.col("_most"))
+    anchors = _anchors(keys, hopping)
+    limits = counts.select(*[F.col(a).alias(f"_a_{a}") for a in anchors], F.col("c").alias("_c"), F.col("k").alias("_k"), F.col("most").alias("_most"), "_q")
+    if anchors:
+        joined = df.join(limits, reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(f"_a_{a}")) for a in anchors]))
+    else:
+        joined = df.crossJoin(F.broadcast(limits))  # one row
+    return joined.withColumn(column, value.cast("long")).select(*df.columns, column)
 
 
 def hopping_removal(df: DataFrame, sets: Sequence[Sequence[str]], alpha: float = 0.05) -> DataFrame:
+    """Rows that reach the thresholds of all sets; the thresholds are carried along, each computed on all rows."""
     keys, out = barcodes(df), df
-    for i, s in enumerate(sets):
-        limit = thresholds(df, s, alpha).select(*keys, F.col("hopping_threshold").alias(f"_t{i}"))
-        out = out.join(limit, keys)
-    for i in range(len(sets)):
-        out = out.filter(F.col("reads") >= F.col(f"_t{i}"))
-    return out.select(*df.columns)
+    limits = [f"_t{i}" for i in range(len(sets))]
+    for s, limit in zip(sets, limits, strict=True):
+        out = thresholds(out, s, alpha, limit, keys)
+    return out.filter(reduce(lambda x, y: x & y, [F.col("reads") >= F.col(t) for t in limits], F.lit(True))).select(*df.columns)

@@ -5,8 +5,9 @@ they differ in at most k places, from the one with fewer reads to the one with m
 the greater tag is the parent). A tag whose ancestors end in one root becomes that root;
 one with several distinct roots is ambiguous and goes with its reads.
 
-The link search is an equi-join on k + 1 pieces of the tag: of tags within k errors one
-piece is equal. Roots are found by passing smallest and largest root down the links until
+The link search is an equi-join on keys of the tag (see ``link_keys``): for one error in a
+short tag, the tag with a letter masked; else k + 1 pieces, of which tags within k errors
+share one. Roots are found by passing smallest and largest root down the links until
 nothing changes; a tag is unambiguous if both are the same. Each round is written, so a
 lost executor costs one round.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tagloom.config import Barcode
 from tagloom.functions.scratch import written
-from tagloom.functions.sequences import hamming, segments
+from tagloom.functions.sequences import hamming, link_keys
 from tagloom.operators.combos import deduplicate, remove_ambiguous
 
 
@@ -31,7 +32,7 @@ def links(counts: DataFrame, prefix: Sequence[str], tag: str, k: int = 1, bands:
     a banded column joins on its bucket and the next ones."""
     prefix = list(prefix)
     bands = bands or {}
-    base = counts.select("*", F.posexplode(segments(F.col(tag), k)).alias("_at", "_piece"))
+    base = counts.select("*", F.posexplode(link_keys(F.col(tag), k)).alias("_at", "_piece"))
     base = base.withColumn("_length", F.length(tag))
     keys = [*prefix, "_length", "_at", "_piece"]
     child = base.select(*keys, F.col(tag).alias("child"), F.col("reads").alias("_nc"), *[F.col(b).alias(f"_c_{b}") for b in bands])

@@ -36,33 +36,36 @@ def group_statistics(df: DataFrame, column: str, group_by: Sequence[str]) -> Dat
     return out.withColumn("foldchange", F.col("teststatistic") - F.col("_control")).drop("_control")
 
 
-def bootstrap_share(controls: np.ndarray, values: np.ndarray, n: int, draws: int, seed: int) -> np.ndarray:
-    """Share of means of n drawn controls that are under each value; drawn in chunks of bounded size."""
+def bootstrap_share(controls: np.ndarray, values: np.ndarray, n: int, draws: int, seed: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """Share of means of n drawn controls that are under each value; drawn in chunks of bounded size.
+
+    controls: values, rising; counts: how many controls have each, one if not given."""
     rng = np.random.default_rng([seed, n])
+    ends = np.cumsum(np.ones(len(controls), np.int64) if counts is None else counts)
     under, left = np.zeros(len(values)), draws
     while left:
         m = min(left, max(1, CHUNK * 10 // n))
-        means = np.sort(controls[rng.integers(0, len(controls), (m, n))].mean(1))
+        drawn = controls[np.searchsorted(ends, rng.integers(0, ends[-1], (m, n)), side="right")]
+        means = np.sort(drawn.mean(1))
         under += np.searchsorted(means, values, side="left")
         left -= m
     return under / draws
 
 
-def pvalues(df: DataFrame, column: str, group_by: Sequence[str], draws: int = 1_000_000, max_n: int = 950, seed: int = 0, max_controls: int = 5_000_000) -> DataFrame:
+def pvalues(df: DataFrame, column: str, group_by: Sequence[str], draws: int = 1_000_000, max_n: int = 950, seed: int = 0) -> DataFrame:
     """One-sided (lower tail) p-values; df has category. A group of n lineages is compared with means of
     min(n, max_n) controls. The null is made once for each such n, one task per n.
 
-    The control vector goes to the executors; more than max_controls of them are refused."""
+    Of the controls their histogram goes to the executors: a row for each different value of
+    column, which are counts of reads, so it hardly grows with the number of controls."""
     stats = group_statistics(df, column, group_by).withColumn("_n", F.least(F.col("lineages"), F.lit(max_n)).cast("int"))
-    controls = df.filter(F.col("category") == CONTROL).select(F.log2(column).alias("v"))
-    if (n := controls.count()) > max_controls:
-        raise ValueError(f"{n} control lineages; max_controls is {max_controls}")
-    if n == 0:
+    bars = df.filter(F.col("category") == CONTROL).groupBy(F.log2(column).alias("v")).agg(F.count(F.lit(1)).alias("n")).filter("v is not null").toPandas().sort_values("v")
+    if not len(bars):
         raise ValueError("no row has category 'control'")
-    shared = df.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in controls.collect()])))
+    shared = df.sparkSession.sparkContext.broadcast((bars["v"].to_numpy(float), bars["n"].to_numpy(np.int64)))
 
     def share(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return part.assign(pvalue=bootstrap_share(shared.value, part["teststatistic"].to_numpy(), int(key[0]), draws, seed))
+        return part.assign(pvalue=bootstrap_share(shared.value[0], part["teststatistic"].to_numpy(), int(key[0]), draws, seed, shared.value[1]))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields) + ", pvalue double"
     return stats.groupBy("_n").applyInPandas(share, schema).select("pvalue", "teststatistic", "foldchange", "lineages", *group_by)

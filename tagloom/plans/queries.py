@@ -103,8 +103,8 @@ def reference_correct(spark, sf_dir):
 
 
 def auto_thresholds(spark, sf_dir):
-    """The largest threshold that keeps the samples' sequences, and those of ten lineages, apart."""
-    lids = [r[0] for r in counts(spark, sf_dir).select("lid").distinct().orderBy("lid").limit(10).collect()]  # a reference list
+    """The largest threshold that keeps the samples' sequences, and those of all lineages, apart."""
+    lids = [r[0] for r in reads(spark, sf_dir).select("lid").distinct().collect()]  # a reference list: 900 at most, as they come from 300 hashes
     made = [("samples", float(auto_threshold(s for s, _ in SAMPLES))), ("lids", float(auto_threshold(lids)))]
     return spark.createDataFrame(made, "list string, threshold double")
 
@@ -241,8 +241,9 @@ def partition_bounds(spark, sf_dir):
 
 
 def unhandled_anti(spark, sf_dir):
+    """Calls are lineages by sample; those with a combination of the last guide RNA have a result, but for lineages in T."""
     c = counts(spark, sf_dir)
-    return combos.unhandled(c.select("sample", "lid").distinct(), c.filter("reads > 1").select("lid"), "lid")
+    return combos.unhandled(c.select("sample", "lid").distinct(), c.filter("grna = 'g4' and substring(lid, 1, 1) <> 'T'").select("lid"), "lid")
 
 
 def union_all_tables(spark, sf_dir):
@@ -349,9 +350,9 @@ UNION ALL SELECT 'failed', NULL, x, count(*)::BIGINT FROM (SELECT unnest([CASE W
 UNION ALL SELECT 'failed', NULL, 'sample_correction_failed', count(*)::BIGINT FROM ok WHERE sample IS NULL HAVING count(*) > 0
 UNION ALL SELECT 'success', 'sample', sample, count(*)::BIGINT FROM ok WHERE sample IS NOT NULL GROUP BY sample""",
         "reference_correct": f"{w}, e AS (SELECT substr(query, 5, 5) AS sample FROM r), {_LOOKED} SELECT e.sample, count(*)::BIGINT AS reads, any_value(name) AS name FROM e LEFT JOIN look USING (sample) GROUP BY e.sample",
-        "auto_thresholds": f"""{w}, {_REFERENCES}, ten AS (SELECT DISTINCT lid FROM counts ORDER BY lid LIMIT 10)
+        "auto_thresholds": f"""{w}, {_REFERENCES}, every AS (SELECT DISTINCT lid FROM counts)
 SELECT 'samples' AS list, min(trunc((hamming(a.s, b.s) - 1) / 2.0))::DOUBLE AS threshold FROM ref a JOIN ref b ON a.s < b.s
-UNION ALL SELECT 'lids', min(trunc((hamming(a.lid, b.lid) - 1) / 2.0))::DOUBLE FROM ten a JOIN ten b ON a.lid < b.lid""",
+UNION ALL SELECT 'lids', min(trunc((hamming(a.lid, b.lid) - 1) / 2.0))::DOUBLE FROM every a JOIN every b ON a.lid < b.lid""",
         "dedup_count": f"{w} SELECT * FROM counts",
         "combine_partials": f"{w} SELECT * FROM counts",
         "dedup_single": f"{w} SELECT sample, lid, sum(reads)::BIGINT AS reads FROM counts GROUP BY ALL",
@@ -381,7 +382,7 @@ SELECT a, b, round(k::DOUBLE / (na.n + nb.n - k), 9) AS jaccard FROM (SELECT x.g
         "pvalue_exact_n1": f"{w}, {_CATEGORIES}, v AS (SELECT round(log2(reads), 9) AS value, category = 'control' AS is_control FROM cc), u AS (SELECT DISTINCT value FROM v) SELECT value, round((SELECT count(*) FROM v WHERE is_control AND v.value < u.value)::DOUBLE / (SELECT count(*) FROM v WHERE is_control), 9) AS pvalue FROM u",
         "mate_zip": "SELECT a.l_linenumber::VARCHAR AS \"group\", a.l_orderkey AS ordinal, a.l_returnflag AS \"R1seq\", b.l_suppkey AS \"R2name\" FROM lineitem a JOIN lineitem b ON a.l_linenumber = b.l_linenumber AND a.l_orderkey = b.l_orderkey WHERE b.l_orderkey % 3 <> 0",
         "partition_bounds": f"{w}, p AS (SELECT sample, grna, row_number() OVER (ORDER BY sample, grna, lid) - 1 AS place FROM counts) SELECT sample, grna, count(*)::BIGINT AS length, min(place)::BIGINT AS start FROM p GROUP BY ALL",
-        "unhandled_anti": f"{w} SELECT DISTINCT sample, lid FROM counts c WHERE NOT EXISTS (SELECT 1 FROM counts d WHERE d.lid = c.lid AND d.reads > 1)",
+        "unhandled_anti": f"{w} SELECT DISTINCT sample, lid FROM counts c WHERE NOT EXISTS (SELECT 1 FROM counts d WHERE d.lid = c.lid AND d.grna = 'g4' AND substr(d.lid, 1, 1) <> 'T')",
         "union_all_tables": f"{w} SELECT * FROM counts WHERE sample = 'A' UNION ALL SELECT * FROM counts WHERE sample <> 'R'",
         "pipeline_full": f"""{wr}, {full}, {_LOOKED},
 dm AS (SELECT name AS sample, lib, lid, count(*)::BIGINT AS reads FROM e JOIN look USING (sample) WHERE length(lid) >= 8 AND lib <> '' GROUP BY ALL),

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -25,6 +25,8 @@ from tagloom.operators.combos import zip_mates
 
 FASTQ_TAGS = ("name", "seq", "qual")
 SEQUENCE = "=ACMGRSVTWYHKDBN"
+#: Ordinals of these are (piece << bits) + place in the piece.
+PIECE_BITS = {"bam": 24, "sam": 33}
 
 
 class UnknownFileType(ValueError):
@@ -303,6 +305,17 @@ def read_sam(spark: SparkSession, path: str, tags: list[str]) -> DataFrame:
     return lines.select("ordinal", *[(F.get(cells, F.lit(9)) if t == "query" else find(t)).alias(t) for t in tags])
 
 
+def numbered(reads: DataFrame, bits: int) -> DataFrame:
+    """reads with their places in the file as ordinals, where these were (piece << bits) + place in the piece.
+
+    The records of each piece are counted and the counts summed up, one row for each piece."""
+    d = reads.withColumn("_piece", F.shiftright("ordinal", bits))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    bases = d.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n")).select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.col("ordinal") - F.shiftleft("_piece", bits)
+    return d.join(bases, "_piece").withColumn("ordinal", F.col("_base") + place).select(*reads.columns)
+
+
 def read_file(spark: SparkSession, path: str, tags: list[str], blocks: int = 500) -> DataFrame:
     """ordinal and tags of a file."""
     kind = kind_of(path)
@@ -313,13 +326,15 @@ def read_file(spark: SparkSession, path: str, tags: list[str], blocks: int = 500
 
 
 def open_reads(spark: SparkSession, files: list[InputFile], tags: list[str]) -> DataFrame:
-    """Tag columns (prefix and tag) of one input group; its files are mates, joined place by place.
+    """Tag columns (prefix and tag) of one input group; its files are mates, joined place by place, up to the end of the shortest.
 
-    Each file is scanned once. tags: with prefixes; only these are read."""
+    SAM and BAM mates are scanned twice, as their places in the file are counted first. tags: with prefixes; only these are read."""
     tables = []
     for f in files:
         own = [t[len(f.prefix) :] for t in tags if t.startswith(f.prefix)] if f.prefix else list(tags)
         d = read_file(spark, f.path, own)
+        if len(files) > 1 and (kind := kind_of(f.path)) in PIECE_BITS:
+            d = numbered(d, PIECE_BITS[kind])
         tables.append((f.prefix, d))
     if len(tables) == 1:
         p, d = tables[0]

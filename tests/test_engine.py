@@ -190,3 +190,58 @@ def test_statistics(spark):
     with pytest.raises(ValueError, match="control"):
         statistics.pvalues(d.filter("category = 'x'"), "reads", ["grna"])
     assert statistics.bootstrap_share(np.array([1.0, 2.0]), np.array([0.5, 3.0]), 3, 1000, 0).tolist() == [0.0, 1.0]
+
+
+def test_controls_by_histogram_are_the_same_draws():
+    v = np.array([0.0, 0.0, 1.0, 2.0, 2.0, 2.0])
+    x = np.array([0.3, 0.9, 1.5])
+    one = statistics.bootstrap_share(v, x, 3, 5000, 4)
+    assert (one == statistics.bootstrap_share(np.array([0.0, 1.0, 2.0]), x, 3, 5000, 4, np.array([2, 1, 3]))).all()
+
+
+PATTERNS = [
+    "(?P<lid>[ACGT]{3})(?P<sample>A+)",
+    "(?P<lid_1>[ACGT]{2,3}?)(?P<sample_bc>[^A])",
+    "(?P<lid>A|CG)(?P<sample>(?P=lid))T",
+    "(?P<lid>ACG){e}(?P<sample>.)",
+    "(?P<lid>ACG){s<=1}(?P<sample>[ACGT])$",
+    "(?P<lid>ACG){1<=e<=2}(?P<sample>T)",
+    "^(?P<lid>.{,2})(?P<sample>.)",
+    "(?i)(?P<lid>acg)(?P<sample>t)",
+    "(?P<lid>\\w\\w)(?P<sample>\\.?)",
+    "(?P<lid>[A-C&&B]+)(?P<sample>G)",
+    "(?:(?P<lid>A)|(?P<sample>C))*+G",
+]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_patterns_mean_what_they_mean_in_python(spark, pattern):
+    import regex
+
+    texts = ["ACGT", "ACGA", "AACGACGT", "CGCGT", "AAT", "", "ACCT", "GGAGTA", "acgt", "A.C", "ACG\n"]
+    groups = list(regex.compile(pattern).groupindex)
+    names = sorted({g.rstrip("0123456789") for g in groups})
+    out = dm.extract(spark.createDataFrame([(t,) for t in texts], "query string"), {"query": pattern}, names).select("query", *names)
+    got = {r[0]: tuple(r[1:]) for r in out.collect()}
+    for t in texts:
+        m = regex.search(pattern, t)
+        parts = {g: (m[g] or "") if m else "" for g in groups}
+        assert got[t] == tuple("".join(parts[g] for g in sorted(groups, key=lambda g: g if g[-1].isdigit() else g + "0") if g.rstrip("0123456789") == n) for n in names), t
+
+
+def test_null_barcodes_are_kept_and_limits_are_checked(spark):
+    d = spark.createDataFrame([("a", None, 500), ("b", None, 3), ("a", "x", 4)], "sample string, lid string, reads long")
+    assert hopping.thresholds(d, ["sample"]).count() == 3
+    assert sorted(r["reads"] for r in hopping.hopping_removal(d, [["sample"]]).collect()) == [4, 500]
+    for columns in (["umi", "threshold"], ["lid"]):
+        with pytest.raises(ConfigError):
+            combos.threshold(d, table(spark, columns, [("x", 1)[: len(columns)]]))
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_links_against_all_pairs(spark, k):
+    r = np.random.default_rng(k)
+    tags = {"".join(r.choice(list("AC"), n)): int(r.integers(1, 4)) for n in (1, 2, 5, 5, 5, 5, 6, 6, 6, 17, 17, 20) for _ in range(4)}
+    got = set(rows(similarity.links(table(spark, ["tag", "reads"], list(tags.items())), [], "tag", k), "child", "parent"))
+    far = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) if len(a) == len(b) else 99
+    assert got == {(a, b) for a in tags for b in tags if a != b and far(a, b) <= k and (tags[b], b) > (tags[a], a)}

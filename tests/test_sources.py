@@ -134,3 +134,18 @@ def test_config_readers(project):
         config.read_regexes(str(project / "bad.csv"))
     (project / "f.csv").write_text("file\na.bam\nb.bam\n")
     assert list(config.read_inputs(str(project / "f.csv"))) == ["a.bam", "b.bam"]
+
+
+def test_mates_of_sam_files_with_unlike_lines_stay_in_order(spark, tmp_path):
+    n, files = 3000, []
+    for k, width in ((1, 4), (2, 90)):
+        p = tmp_path / f"r{k}.sam"
+        p.write_text("@HD\tx\n" + "".join(f"q{i}\t0\t*\t0\t0\t*\t*\t0\t0\t{'ACGT' * width}\t*\tBC:Z:{k}_{i}\n" for i in range(n + (5 if k == 2 else 0))))
+        files.append(records.InputFile(str(p), "g", f"R{k}"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = records.open_reads(spark, files, ["R1BC", "R2BC"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["R1BC"], r["R2BC"]) for r in got) == sorted((f"1_{i}", f"2_{i}") for i in range(n))
