@@ -279,3 +279,11 @@ def test_edit_distance():
         most = r.randint(0, 12)
         d = lines.edit_distance(a.encode(), b.encode(), most)
         assert d == plain(a, b) if plain(a, b) <= most else d > most
+
+
+def test_short_paragraphs_may_stay(spark):
+    long = " ".join(f"w{i}" for i in range(25))
+    docs = make(spark, [(1, f"{long}\nshort one here"), (2, f"short one here\n{long} and more"), (3, "short one here")])
+    got = {r["doc_id"]: r["text"] for r in paragraphs.dedup_paragraphs(docs, 20).collect()}
+    assert got == {1: f"{long}\nshort one here", 2: "short one here", 3: "short one here"}
+    assert {r["doc_id"]: r["text"] for r in paragraphs.dedup_paragraphs(docs).collect()} == {1: f"{long}\nshort one here", 2: "", 3: ""}
