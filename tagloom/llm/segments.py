@@ -158,7 +158,13 @@ def linked_segments(scratch: Scratch, docs: DataFrame, seen: DataFrame, links: D
         members = scratch.write(members.join(open_, "g"))
         with_items = scratch.write(items(members.select("id").distinct()))
         more = []
-        several = members.filter("_n > 2")
+        most = method.most_items or near.MAX_ITEMS
+        several = members.filter(f"_n > 2 and _n <= {most}").select("g", "id", "part")
+        large = members.filter(f"_n > {most}")
+        if not large.isEmpty():  # the same lines meet in several blocks: one group of what they have in common
+            ties = rest.join(large.select("g").distinct(), "g").select("a", "b")
+            merged = large.select("id", "part").distinct().join(near.components(scratch, ties), "id")
+            several = several.unionByName(merged.select(F.col("comp").alias("g"), "id", "part"))
         if not several.isEmpty():
             more.append(as_links(compare(several.join(with_items, "id").select(F.col("g").alias("comp"), "id", "item", "part"), method.wide_labels)))
         two = members.filter("_n = 2").groupBy("g").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").distinct()
