@@ -61,7 +61,7 @@ class Recent:
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, the end id last."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int | None = None):
         import json
         import os
         import re
@@ -72,7 +72,7 @@ class Encoder:
 
         self.tokenizer, self.safe = Tokenizer.from_file(path), re.compile(SAFE)
         self.parts = regex.compile(SPLIT).findall
-        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        self.words, self.pieces = Recent(cache_words or CACHE_WORDS), Recent(cache_words or CACHE_WORDS)
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # the tokens that end a part of a word
@@ -112,10 +112,10 @@ _encoders: dict[str, Encoder] = {}
 ON_RELEASE.append(_encoders.clear)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int | None = None) -> Encoder:
     """The worker's encoder; its cache outlives a task, until the worker's next one of another operator."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, cache_words)
     return _encoders[path]
 
 
@@ -126,13 +126,13 @@ def cut(ids: bytes, window: int = WINDOW):
     return [(s, min(window, n - s), zlib.crc32(view[4 * s : 4 * (s + window)])) for s in range(0, n, window)]
 
 
-def pieces(docs: DataFrame, path: str) -> DataFrame:
+def pieces(docs: DataFrame, path: str, cache_words: int | None = None) -> DataFrame:
     """The pieces of documents (doc_id, text); bar 0 is a full window."""
 
     def run(batches):
         import pyarrow as pa
 
-        encode = encoder(path)
+        encode = encoder(path, cache_words)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -241,10 +241,10 @@ def intervals(chosen: list[tuple[tuple[int, ...], int]], n_full: int) -> tuple[l
     return rows, base
 
 
-def pack(docs: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(docs: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS, cache_words: int | None = None) -> DataFrame:
     """docs: doc_id and text. path: the tokenizer's file, the same on all executors."""
     spark = docs.sparkSession
-    p = Scratch(spark, "pack").write(pieces(docs, path))
+    p = Scratch(spark, "pack").write(pieces(docs, path, cache_words))
     counts = np.zeros(BARS + 1, np.int64)
     for b, n in p.groupBy("bar").count().collect():  # one row for each bar
         counts[b] = n
@@ -269,4 +269,4 @@ def tokenizer_path() -> str:
 
 
 def op7_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), cache_words=500_000)  # alone in its workers
