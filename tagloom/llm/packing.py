@@ -34,7 +34,7 @@ BARS = WINDOW // STEP
 SAFE = r"[\t-\r\x20-\x7e¡-įı-ɏ‐-‧‰-⁞]*"
 #: How the tokenizer splits lower-cased text into parts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_WORDS, BUCKET_ROWS = 200_000, 5_000
+CACHE_WORDS, BUCKET_ROWS = 50_000, 5_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bar int"
 
 
@@ -141,6 +141,7 @@ def pieces(docs: DataFrame, path: str, cache_words: int | None = None) -> DataFr
                 rows += [(doc, s, k, crc, n, 0 if k == WINDOW else -(-k // STEP)) for s, k, crc in cut(ids)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 5 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bar"])
+        release(False)  # the cache stays
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
 
