@@ -206,6 +206,52 @@ def test_signed_votes():
     assert first.tolist() == [0, 5, 6, 6, 16] and at.tolist() == [0, 5, 15] and (one == np.append(h[:5], h[6:])).all()
 
 
+def test_all_pairs_of_a_group_that_meet_are_compared():
+    """Also those that are further apart than the links that made the group."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    others = [" ".join(word() for _ in range(12)).encode() for _ in range(4)]
+    seen = 0
+    for _ in range(300):
+        a = " ".join(word() for _ in range(12))
+        b = "".join(r.choice("abcdefghijklmnop") if c != " " and r.random() < 0.12 else c for c in a)
+        pair = [a.encode(), b.encode()]
+        found = lines.blocks(near.Items(pair))
+        bits = [near.sized_apart(sk[0], sk[1]) for own, keys, sk in found if len(own) == 2 and (keys[0] == keys[1]).any()]
+        if not bits or not lines.STRONG < min(bits) <= lines.MAX_APART or not lines.similar(*pair):
+            continue
+        seen += 1
+        assert lines.labels([(others + pair, None), (pair, None)])[0].tolist() == [0, 1, 2, 3, 4, 4]
+    assert seen > 3
+
+
+def test_members_of_a_hot_bucket_that_different_tasks_hold_meet(spark, monkeypatch):
+    monkeypatch.setattr(near, "FLUSH", 300)
+    far = 2**60 - 1  # 300 items of one key, the last one far from the leader; then one that is near the last one
+    rows = [(i, far if i >= 299 else 0) for i in range(301)]
+
+    def items_of(batch):
+        for at in (slice(0, 300), slice(300, 301)):
+            v = [tuple(map(int, x.as_py().split())) for x in batch.column(0)][at]
+            sk = np.array([x for _, x in v], np.uint64)
+            yield [(np.array([i for i, _ in v]), np.full((len(v), 1), 77, np.uint64), near.sized(sk, np.full(len(v), 50)))]
+
+    docs = spark.createDataFrame([(f"{i} {x}",) for i, x in rows], "text string").coalesce(1)
+    links = near.meet(Scratch(spark, "t"), docs, items_of, 301, 1, 13, 20).filter("g is null")
+    assert {x["id"]: x["comp"] for x in near.components(Scratch(spark, "t"), links).collect()} == {i: 0 for i in range(301)}
+
+
+def test_scans_of_many_pairs_agree_with_one():
+    r = random.Random(4)
+    pairs = []
+    for _ in range(150):
+        a = "".join(r.choice("abcdé-中") for _ in range(r.choice([3, 64, 65, 130, 300])))
+        share = r.choice([0.05, 0.15, 0.25, 0.6])
+        pairs.append((a.encode(), "".join(r.choice(["", "x", "ab"]) if r.random() < share else c for c in a).encode()))
+    got = lines.alike(pairs)
+    assert got.tolist() == [lines.similar(a, b) for a, b in pairs] and 30 < got.sum() < 120
+
+
 def test_hot_buckets_are_linked_by_stars(spark, monkeypatch):
     for name, value in (("FLUSH", 64), ("HOT", 4), ("BIG_PART", 6), ("PART_ENTRIES", 100)):
         monkeypatch.setattr(near, name, value)
