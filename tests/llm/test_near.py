@@ -241,6 +241,16 @@ def test_members_of_a_hot_bucket_that_different_tasks_hold_meet(spark, monkeypat
     assert {x["id"]: x["comp"] for x in near.components(Scratch(spark, "t"), links).collect()} == {i: 0 for i in range(301)}
 
 
+def test_what_blocks_shuffled_goes_before_groups_are_compared(spark, monkeypatch):
+    from tagloom.llm import segments
+
+    done = []
+    monkeypatch.setattr(Scratch, "free", lambda self: done.append("free"), raising=False)
+    monkeypatch.setattr(segments, "linked_segments", lambda *given: done.append("compare"))
+    segments.removals(Scratch(spark, "t"), make(spark, [(1, "a line of five words")]), lines.METHOD)
+    assert done[:2] == ["free", "compare"]
+
+
 def test_scans_of_many_pairs_agree_with_one():
     r = random.Random(4)
     pairs = []
