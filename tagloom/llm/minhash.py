@@ -74,7 +74,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         wanted = scratch.write(groups.join(classes.select("id", "digest", "root"), "id").filter(F.col("root").isNotNull()).withColumnRenamed("root", "doc_id"))
         texts = near.only_ids(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted, "doc_id")
         items = with_digest(texts).join(wanted, ["doc_id", "digest"]).select("comp", "id", "item")
-        labels = near.settle(scratch, items, lambda groups: [near.set_labels(x, shingle, percent, known) for x, known in groups])
+        labels = near.settle(scratch, items, lambda groups: [near.set_labels(x, shingle, percent, known) for x, known, *_ in groups])
         joined = classes.select("id", "digest", "root").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         roots = scratch.write(joined.groupBy("label").agg(F.min("root").alias("_root")))
         found = joined.join(roots, "label").select("digest", F.col("_root").alias("root"))

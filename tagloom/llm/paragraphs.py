@@ -62,8 +62,8 @@ def blocks(items: near.Items) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     return [(np.arange(len(low)), near.band_keys(low, BANDS, ROWS).view(np.uint64), near.sized(np.bitwise_or.reduce(bits, axis=1), items.n_words))]
 
 
-def labels(groups: list[tuple[list[bytes], np.ndarray | None]]) -> list[np.ndarray]:
-    return [near.set_labels(items, SHINGLE, PERCENT, known) for items, known in groups]
+def labels(groups: list[tuple]) -> list[np.ndarray]:
+    return [near.set_labels(items, SHINGLE, PERCENT, known) for items, known, *_ in groups]
 
 
 METHOD = Method("paragraphs", normalise, blocks, BANDS, MAX_APART, MAX_APART, labels, lambda pairs: pairs, 1, fuzzy, False)

@@ -105,6 +105,31 @@ def test_components(spark):
     assert got == groups(nodes, lambda a, b: frozenset((a, b)) in linked)
 
 
+def test_few_links_are_followed_at_once(spark, monkeypatch):
+    r = random.Random(9)
+    edges = [(r.randrange(-80, 80), r.randrange(-80, 80)) for _ in range(70)] + [(i, i + 1) for i in range(200, 260)]
+    links, scratch = spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")
+    got = {x["id"]: x["comp"] for x in near.components(scratch, links).collect()}
+    assert scratch.n == 1
+    assert near.components(scratch, links.filter("false")).collect() == []
+    monkeypatch.setattr(near, "DRIVER_LINKS", 0)
+    assert got == {x["id"]: x["comp"] for x in near.components(scratch, links).collect()}
+
+
+def test_half_blocks_of_a_large_group_meet_once(spark, tmp_path):
+    def alone(groups):
+        for items, _, sides in groups:
+            if sides is not None:
+                pairs = [f"{min(int(a), int(b))} {max(int(a), int(b))}\n" for (a, s), (b, t) in combinations(zip(items, sides, strict=True), 2) if s != t]
+                (tmp_path / str(random.SystemRandom().random())).write_text("".join(pairs))
+        return [np.arange(len(items)) for items, *_ in groups]
+
+    rows = spark.createDataFrame([(1, i, str(i).encode()) for i in range(40)], "comp long, id long, item binary")
+    assert near.settle(Scratch(spark, "t"), rows, alone, most_items=8).count() == 0
+    met = [x for f in tmp_path.iterdir() for x in f.read_text().splitlines()]
+    assert len(met) == len(set(met)) > 600
+
+
 @pytest.mark.parametrize("method", [lines.METHOD, paragraphs.METHOD])
 def test_segments(spark, method):
     r = random.Random(4)
@@ -225,6 +250,23 @@ def test_all_pairs_of_a_group_that_meet_are_compared():
     assert seen > 3
 
 
+def test_only_pairs_across_sides_and_labels_meet():
+    g = [f"one line of several words that is repeated with {w} in it".encode() for w in "abc abd abe abf abg abh abi abj".split()]
+    sides, known = np.array([1, 1, 1, 1, 2, 2, 2, 2]), np.array([0, 1, 2, 3, 0, 5, 6, 7])
+    pairs = {(i, j) for _, _, i, j in lines._meeting([g], 20).tolist()}
+    assert pairs and {(i, j) for _, _, i, j in lines._meeting([g], 20, [known], [sides]).tolist()} == {(i, j) for i, j in pairs if i < 4 <= j and (i, j) != (0, 4)}
+    assert lines.labels([(g, known, sides)])[0].tolist() == [0] * 8
+
+
+def test_letters_bound_the_distance():
+    r = random.Random(12)
+    texts = ["".join(r.choice("abcdeé中 ") for _ in range(r.randint(0, 30))) for _ in range(40)]
+    i, j = np.array(list(combinations(range(40), 2))).T
+    apart = lines._letters_apart(texts, i, j)
+    assert all(d <= lines.edit_distance(texts[a].encode(), texts[b].encode(), 99) for a, b, d in zip(i, j, apart, strict=True))
+    assert lines._letters_apart(["abc", "abdd"], np.array([0]), np.array([1])).tolist() == [2]
+
+
 def test_members_of_a_hot_bucket_that_different_tasks_hold_meet(spark, monkeypatch):
     monkeypatch.setattr(near, "FLUSH", 300)
     far = 2**60 - 1  # 300 items of one key, the last one far from the leader; then one that is near the last one
