@@ -116,6 +116,33 @@ def test_few_links_are_followed_at_once(spark, monkeypatch):
     assert got == {x["id"]: x["comp"] for x in near.components(scratch, links).collect()}
 
 
+def test_few_links_are_written_in_few_files(spark, monkeypatch):
+    from tagloom.llm.segments import remove
+
+    r, files = random.Random(14), []
+    words = [["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(12)] for _ in range(300)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(words)] + [(300 + i, " ".join([*w[:11], "other"])) for i, w in enumerate(words)]
+    want = sorted((i, [] if i < 300 else [0]) for i, _ in docs)
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, write = {k: spark.conf.get(k) for k in conf}, Scratch.write
+
+    def noted(self, df, *args, **options):
+        out = write(self, df, *args, **options)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = remove(make(spark, docs), lines.METHOD).select("doc_id", "removed").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((x["doc_id"], x["removed"]) for x in got) == want
+    assert sum(f > 24 for f in files) <= 3 and len(files) > 5  # the links, and what is read from documents
+
+
 def test_half_blocks_of_a_large_group_meet_once(spark, tmp_path):
     def alone(groups):
         for items, _, sides in groups:
