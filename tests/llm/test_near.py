@@ -331,6 +331,50 @@ def test_scans_of_many_pairs_agree_with_one():
     assert got.tolist() == [lines.similar(a, b) for a, b in pairs] and 30 < got.sum() < 120
 
 
+def test_scans_stay_near_the_diagonal_and_take_unlike_lengths(monkeypatch):
+    r, pairs, scans = random.Random(8), [], []
+    for n in (30, 45, 63, 64, 65, 85) * 5 + (128, 200, 250, 330) * 2:
+        y = x = "".join(r.choice("abcdefgh") for _ in range(n))
+        for _ in range(r.randint(0, n // 2)):
+            i = r.randrange(len(y))
+            y = y[:i] + r.choice(["", "x", "yz"]) + y[i + r.randint(0, 1) :] or "a"
+        y = r.choice([y, y, y[n // 5 :] + x[: n // 5], x[n // 8 :] + y[: n // 5]])
+        x, y = sorted((x, y), key=len)
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row = row, [i]
+            for j, d in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+        pairs += [((x, y, most), row[-1] <= most) for most in (row[-1] - 1, row[-1], len(y) // 5) if most >= len(y) - len(x)]
+    own, want = zip(*pairs, strict=True)
+    assert lines._within(list(own)).tolist() == list(want) and 30 < sum(want) < len(want) - 30
+    within = lines._within
+    monkeypatch.setattr(lines, "_within", lambda x: scans.append(len(x)) or within(x))
+    some = [tuple("".join(r.choice("abc") for _ in range(n)).encode() for _ in range(2)) for n in range(40, 120)]
+    assert lines.alike(some).tolist() == [lines.similar(*p) for p in some]
+    assert len(scans) == 1  # before lengths of three times the shortest: several of few pairs
+
+
+def test_buckets_of_bounded_size_are_linked_at_once(monkeypatch):
+    r = np.random.default_rng(5)
+    size = [1, 2, 6, 7, 40, 300]
+    key, ids = np.repeat(np.arange(len(size)), size).astype(np.uint32), r.permutation(sum(size)).astype(np.int64)
+    few = r.integers(0, 2**63, 12, np.uint64)
+    bits = (np.uint64(1) << r.integers(0, 60, (len(key), 3)).astype(np.uint64)) * (r.random((len(key), 3)) < 0.8).astype(np.uint64)
+    sketch = near.sized(few[r.integers(0, 12, len(key))] ^ np.bitwise_xor.reduce(bits, axis=1), r.choice([90, 100], len(key)))
+    monkeypatch.setattr(near, "_labels", None)
+    sure, rest = near._bucket_clusters(key, ids, sketch, near.sized_apart, 4, 9)
+    strong, far = set(), set()
+    for k in range(len(size)):
+        own = np.flatnonzero(key == k)
+        near_ = {(a, b): int(near.sized_apart(sketch[a], sketch[b])) for a, b in combinations(own.tolist(), 2)}
+        root = groups(own.tolist(), lambda a, b, n=near_: n[a, b] <= 4)
+        strong |= {tuple(sorted((int(ids[root[a]]), int(ids[a])))) for a in root if root[a] != a} if size[k] > near.SMALL_BUCKET else {tuple(sorted((int(ids[a]), int(ids[b])))) for (a, b), n in near_.items() if n <= 4}
+        far |= {tuple(sorted((int(ids[a]), int(ids[b])))) for (a, b), n in near_.items() if 4 < n <= 9 and (size[k] <= near.SMALL_BUCKET or root[a] != root[b])}
+    assert {tuple(sorted(x)) for x in sure.tolist()} == strong and {tuple(x[1:]) for x in rest.tolist()} == far
+    assert len(strong) > 100 and len(far) > 20
+
+
 def test_hot_buckets_are_linked_by_stars(spark, monkeypatch):
     for name, value in (("FLUSH", 64), ("HOT", 4), ("BIG_PART", 6), ("PART_ENTRIES", 100)):
         monkeypatch.setattr(near, name, value)
