@@ -24,6 +24,7 @@ gives no rows. Language, source and id are no inputs of a prediction.
 """
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import regex
@@ -33,18 +34,36 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fresh, release, table
 
 TRAIN_LINES, TRAIN_WORDS, EPOCHS, BATCH, RATE, L2 = 1500, 60, 4, 32, 0.2, 1e-6
-SLOTS, SEQUENCE, CACHE_WORDS, LEXICON, FOLD_SEED = 1 << 17, 64, 150_000, 300, 17
+SLOTS, SEQUENCE, CACHE_WORDS, CACHE_NAMES, LEXICON, FOLD_SEED = 1 << 17, 64, 150_000, 50_000, 300, 17
 UNKNOWN = "und"
 _letters = regex.compile(r"\p{L}+").findall
 
 
+class _Slots(dict):
+    """Slots of names that begin with one letter, by the rest of the name; at most ``CACHE_NAMES`` are kept."""
+
+    def __init__(self, letter: str):
+        self.letter = letter
+
+    def __missing__(self, rest: str) -> int:
+        if len(self) >= CACHE_NAMES:
+            self.clear()
+        self[rest] = found = zlib.crc32(f"{self.letter}{rest}".encode()) % SLOTS
+        return found
+
+
+_lexicon_slots, _prefix_slots, _suffix_slots, _gram_slots = map(_Slots, "xpsg")
+
+
 def features(word: str, lexicons: dict[str, int]) -> list[int]:
     """Slots of a word's features."""
-    marked = f"^{word}$"
-    names = [f"w{word}", f"x{lexicons.get(word, 0)}"]
-    names += [f"p{word[:k]}" for k in (1, 2, 3) if len(word) >= k] + [f"s{word[-k:]}" for k in (1, 2, 3) if len(word) >= k]
-    names += [f"g{marked[i : i + k]}" for k in (2, 3) for i in range(len(marked) - k + 1)]
-    return [zlib.crc32(x.encode()) % SLOTS for x in names]
+    marked, n = f"^{word}$", len(word)
+    out = [zlib.crc32(f"w{word}".encode()) % SLOTS, _lexicon_slots[str(lexicons.get(word, 0))]]
+    out += [_prefix_slots[word[:k]] for k in (1, 2, 3) if n >= k]
+    out += [_suffix_slots[word[-k:]] for k in (1, 2, 3) if n >= k]
+    out += [_gram_slots[marked[i : i + 2]] for i in range(n + 1)]
+    out += [_gram_slots[marked[i : i + 3]] for i in range(n)]
+    return out
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray, pairs: bool = False):
@@ -104,7 +123,7 @@ class Model:
                 self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
             slots = [features(w, self.lexicons) for w in new]
             sizes = np.fromiter(map(len, slots), np.int64, len(slots))
-            flat = np.fromiter((s for x in slots for s in x), np.int64, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(slots), np.int64, int(sizes.sum()))
             self.table[at:need] = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
             self.place.update(zip(new, range(at, need), strict=True))
         return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]

@@ -65,6 +65,24 @@ def test_all_languages_are_learned(spark):
     assert set(got.values()) == {"l69"}
 
 
+def test_slots_of_pieces_are_looked_up(monkeypatch):
+    def plain(word, lexicon):
+        marked = f"^{word}$"
+        names = [f"w{word}", f"x{lexicon}", *(f"p{word[:k]}" for k in (1, 2, 3) if len(word) >= k), *(f"s{word[-k:]}" for k in (1, 2, 3) if len(word) >= k)]
+        names += [f"g{marked[i : i + k]}" for k in (2, 3) for i in range(len(marked) - k + 1)]
+        return [zlib.crc32(x.encode()) % langid.SLOTS for x in names]
+
+    words = ["a", "es", "ñe", "été", "thing", "中文字", "x" * 50, *(w for own in WORDS.values() for w in own)]
+    monkeypatch.setattr(langid, "CACHE_NAMES", 20)  # and when they are dropped
+    assert all(langid.features(w, {"thing": 5}) == plain(w, 5 if w == "thing" else 0) for w in words * 2)
+    monkeypatch.setattr(langid, "CACHE_NAMES", 1000)
+    langid.features("thingering", {})
+    hashed, crc32 = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda x: hashed.append(x) or crc32(x))
+    langid.features("thingering", {})
+    assert hashed == [b"wthingering"]
+
+
 def test_long_texts_are_read_to_the_end(spark):
     model = langid.train([(lang, t) for _, t, lang in texts(90)])
     assert model.predict(["the of and " * 300 + "der die und nicht " * 3000])[0][0] == "de"
