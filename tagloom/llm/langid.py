@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, release, table
+from .common import bounded_batches, fresh, release, table, trim_driver
 
 TRAIN_LINES, TRAIN_WORDS, EPOCHS, BATCH, RATE, L2 = 1500, 60, 4, 32, 0.2, 1e-6
 SLOTS, SEQUENCE, CACHE_WORDS, CACHE_NAMES, LEXICON, FOLD_SEED = 1 << 17, 64, 150_000, 50_000, 300, 17
@@ -241,7 +241,9 @@ def fit(docs: DataFrame, train_lines: int = TRAIN_LINES) -> Model:
     drawn = passing.select("lang", key.alias("_key"), middle.alias("line"))
     own = Window.partitionBy("lang").orderBy("_key", "line")
     drawn = drawn.withColumn("_place", F.row_number().over(own)).filter(F.col("_place") <= train_lines)
-    return train([(r[0], r[1]) for r in drawn.select("lang", "line", "_place").orderBy("lang", "_place").collect()])
+    model = train([(r[0], r[1]) for r in drawn.select("lang", "line", "_place").orderBy("lang", "_place").collect()])
+    trim_driver(docs.sparkSession)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagloom.llm import lines, minhash, near, paragraphs
@@ -456,3 +457,22 @@ def test_short_paragraphs_may_stay(spark):
     got = {r["doc_id"]: r["text"] for r in paragraphs.dedup_paragraphs(docs, 20).collect()}
     assert got == {1: f"{long}\nshort one here", 2: "short one here", 3: "short one here"}
     assert {r["doc_id"]: r["text"] for r in paragraphs.dedup_paragraphs(docs).collect()} == {1: f"{long}\nshort one here", 2: "", 3: ""}
+
+
+def test_short_memory_of_driver(spark, tmp_path, monkeypatch):
+    """What a table is written for leaves no free memory with the driver, nor does training."""
+    from tagloom.llm import common, langid
+
+    trimmed = []
+    real = common.trim_driver
+    monkeypatch.setattr(common, "trim_driver", lambda s: trimmed.append(s) or real(s))
+    monkeypatch.setattr(langid, "trim_driver", common.trim_driver)
+    monkeypatch.setattr(common.Scratch, "cleaned", 0.0)
+    scratch = common.Scratch(spark, "trim")
+    assert scratch.write(spark.range(5)).count() == 5 and len(trimmed) == 1
+    scratch.write(spark.range(5))
+    assert len(trimmed) == 1  # not for each table
+    langid.fit(spark.createDataFrame([(1, "one two", "en")], "doc_id long, text string, lang string"))
+    assert len(trimmed) == 2
+    monkeypatch.setattr(common, "TRIM", "noSuchCommand")
+    real(spark)  # a JVM without it
