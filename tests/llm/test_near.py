@@ -476,3 +476,32 @@ def test_short_memory_of_driver(spark, tmp_path, monkeypatch):
     assert len(trimmed) == 2
     monkeypatch.setattr(common, "TRIM", "noSuchCommand")
     real(spark)  # a JVM without it
+
+
+def test_sketches_cost_no_second_copy_of_words(monkeypatch):
+    """Votes are drawn from the words and stretches where they are, and as they were drawn from copies of them."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 3000, int(k))).encode() for k in rng.integers(1, 90, 60)] + [b"ab abc", b"", b"x" * 300]
+    items = near.Items(texts)
+    for size, low, high, share in lines.GRAMS:
+        length = np.diff(np.append(0, np.cumsum(items.sizes))[items.first])
+        own = np.flatnonzero((length >= low) & (length < high))
+        got = items.grams(size, share, own)
+        plain = []
+        for i in own.tolist():
+            stream = texts[i].replace(b" ", b"")
+            h = [np.uint64(int.from_bytes(stream[p : p + size], "little")) for p in range(max(1, len(stream) - size + 1))] if stream else []
+            h = np.array(h, np.uint64)
+            plain.append(near.mix(h[(h * near._MULT) >> np.uint64(64 - share) == 0] + near._MULT) if share else near.mix(h + near._MULT))
+        assert [x.tolist() for x in plain] == [got[0][s:e].tolist() for s, e in zip(got[1][:-1], got[1][1:], strict=True)]
+    before = lines.blocks(items)
+    monkeypatch.setattr(near.Items, "only", None)  # a selection of items is a copy of their words
+    for a, b in zip(before, lines.blocks(near.Items(texts)), strict=True):
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
+
+
+def test_groups_are_compared_together():
+    """Groups of a stream come in one table until they are large enough."""
+    batches = [pa.RecordBatch.from_pydict({"key": [k, k], "id": [2 * k, 2 * k + 1]}) for k in range(6)]
+    sizes = lambda least: [t.num_rows for t in near.by_group(iter(batches), ["key", "id"], lambda t: [t], least)]
+    assert sizes(1 << 20) == [12] and sum(sizes(0)) == 12 and len(sizes(0)) == 6
