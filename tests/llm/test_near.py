@@ -321,6 +321,46 @@ def test_what_blocks_shuffled_goes_before_groups_are_compared(spark, monkeypatch
     assert done[:2] == ["free", "compare"]
 
 
+def test_strong_links_get_fewer_as_lines_get_more(spark):
+    """Else links by chance, which grow with the square of the lines, join most families of copies in one group."""
+    from dataclasses import replace
+
+    from tagloom.llm.segments import remove
+
+    at = lines.METHOD.strong_at
+    assert [at(n) for n in (0, 2_500_000, 5_000_000, 32_000_000, 160_000_000)] == [13, 13, 12, 9, 7]
+    assert paragraphs.METHOD.strong_at(10**9) == paragraphs.METHOD.strong
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    found = []
+    for _ in range(40):
+        base = [word() for _ in range(r.choice([7, 12, 30]))]
+        for _ in range(6):
+            w = list(base)
+            w[r.randrange(len(w))] = word()
+            found.append(" ".join(w))
+    r.shuffle(found)
+    docs = make(spark, [(i, "\n".join(found[3 * i : 3 * i + 3])) for i in range(80)])
+    some, none = ({x["doc_id"]: x["removed"] for x in remove(docs, replace(lines.METHOD, many=many)).collect()} for many in (None, 0.01))
+    assert some == none and sum(map(len, some.values())) > 150
+
+
+def test_whole_lines_are_fetched_for_pairs_of_like_letters_only(spark):
+    from tagloom.llm.segments import _hopeful
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdeé中 ") for _ in range(r.choice([8, 9, 10, 300, 3000]))).encode() for _ in range(30)]
+    texts += ["".join(r.choice(["", "x", *14 * [c]]) for c in x.decode()).encode() for x in texts]
+    i, j = np.array(list(combinations(range(60), 2))).T
+    rows = lines.letter_rows(texts)
+    may = lines.may_be_similar(rows[i], rows[j])
+    alike = lines.alike([(texts[a], texts[b]) for a, b in zip(i, j, strict=True)])
+    assert alike.sum() > 10 and not (alike & ~may).any() and may.mean() < 0.5
+    items = spark.createDataFrame([(1, b"one line of words"), (2, b"one line of word"), (3, b"zzzzzzzzzzzzzzzzz")], "id long, item binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert [tuple(x) for x in _hopeful(Scratch(spark, "t"), pairs, items, lines.METHOD).collect()] == [(1, 2)]
+
+
 def test_scans_of_many_pairs_agree_with_one():
     r = random.Random(4)
     pairs = []
