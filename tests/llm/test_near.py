@@ -361,6 +361,26 @@ def test_whole_lines_are_fetched_for_pairs_of_like_letters_only(spark):
     assert [tuple(x) for x in _hopeful(Scratch(spark, "t"), pairs, items, lines.METHOD).collect()] == [(1, 2)]
 
 
+def test_long_lines_are_scanned_in_a_band(monkeypatch):
+    r = random.Random(6)
+    bands = []
+    banded = lines._banded
+    monkeypatch.setattr(lines, "_banded", lambda x, y, most: bands.append(most) or banded(x, y, most))
+    a = "".join(r.choice("abcdé中 ") for _ in range(9000))
+    b = "".join(r.choice(["", "x", "ab"]) if r.random() < 0.01 else c for c in a)
+    d = lines.edit_distance(a.encode(), b.encode(), 1800)
+    assert 0 < d <= bands[-1] < 500
+    for _ in range(60):
+        x = "".join(r.choice("abcdé中 ") for _ in range(r.choice([30, 200, 500])))
+        share, most = r.choice([0.02, 0.1, 0.3]), r.choice([5, len(x) // 10, len(x) // 2])
+        y = "".join(r.choice(["", "x", "ab"]) if r.random() < share else c for c in x)
+        monkeypatch.setattr(lines, "BANDED", 1 << 40)
+        want = lines.edit_distance(x.encode(), y.encode(), most)
+        monkeypatch.setattr(lines, "BANDED", 16)
+        got = lines.edit_distance(x.encode(), y.encode(), most)
+        assert got == want if want <= most else got > most
+
+
 def test_scans_of_many_pairs_agree_with_one():
     r = random.Random(4)
     pairs = []
